@@ -4,19 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, secret_scan
-
-ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+from . import common, decontaminate, pii, secret_scan, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(_read(spark, sf_dir, "documents"), common.shared_dir(spark))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = f"{common.shared_dir(spark)}/secret_ledger"
     return secret_scan.report(secret_scan.scan(_read(spark, sf_dir, "documents"), ledger))
 
 
-QUERIES = {"op6_secret_scan": op6_secret_scan}
-ORACLES: dict[str, str] = {}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op5_simhash": op5_simhash,
+    "op6_secret_scan": op6_secret_scan,
+    "op8_pii": op8_pii,
+}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE}
