@@ -1,9 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models with absolute discounting and Kneser-Ney lower orders, one of toxic and one of ordinary rows, back off to
-one shared distribution: smoothed word counts of the whole corpus. A rare expression that either class lacks thus gets
-the same backing in both, and only what differs between the classes moves the score. A document is scored by its mean log
-ratio per word and by its most telling words (means of the largest, so long texts don't drown them), through a logistic
+a class's counts of stems (the first five letters), and within a stem to one shared distribution: smoothed word counts of
+the whole corpus. A rare expression that either class lacks thus gets the backing of its stem, and a rare stem the same
+backing in both classes; only what differs between the classes moves the score. A document is scored by its mean log
+ratio per word and by its most telling words (means of the largest, and how many pass fixed levels, absolutely and per word), through a logistic
 link fitted on labelled rows that the models haven't seen.
 
 Labels come only from rows with crc32(doc_id as text) mod 5 <> 0: remainder 1 fits the link, 2 to 4 the models. At most
@@ -31,27 +32,33 @@ from . import common
 LABELLED = 20_000
 PAIRS = 1_000_000
 WORD_BITS = 20
+STEM_BITS = 18
+STEM = 5
 WORD = re.compile(r"\w+")
-TOP = (1, 3, 8)
+TOP = (1, 2, 4, 8, 16)
+LEVELS = (2.0, 3.5, 5.0)
+EVIDENCE = 2 + len(TOP) + 2 * len(LEVELS)
 
 
 def word_ids(text: str | None, cache: dict[str, int]) -> np.ndarray:
-    """Ids of the words of a text; ``cache`` holds words already seen and is emptied when it is large."""
+    """Word id and stem id, in one number, of each word; ``cache`` holds words already seen and is emptied when large."""
     if len(cache) > 500_000:
         cache.clear()
     out = []
     for w in WORD.findall((text or "").lower()):
         i = cache.get(w)
         if i is None:
-            i = cache[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1)
+            word = zlib.crc32(w.encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1)
+            stem = zlib.crc32(w[:STEM].encode("utf-8", "surrogatepass")) & ((1 << STEM_BITS) - 1)
+            i = cache[w] = word << STEM_BITS | stem
         out.append(i)
     return np.array(out, np.int64)
 
 
 def pairs_of(ids: np.ndarray) -> np.ndarray:
     """Each word with the one before it; the first follows a start mark of its own."""
-    before = np.concatenate([[1 << WORD_BITS], ids[:-1]]) if len(ids) else ids
-    return (before << (WORD_BITS + 1)) | ids
+    before = np.concatenate([[1 << WORD_BITS], ids[:-1] >> STEM_BITS]) if len(ids) else ids
+    return (before << (WORD_BITS + STEM_BITS)) | ids
 
 
 def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -111,27 +118,38 @@ def train(docs: DataFrame, labels: DataFrame, folder: str, bound: int = LABELLED
     chosen = common.table(texts.join(F.broadcast(few), "doc_id").select("text", "y", "fold"), f"{folder}/chosen")  # 2 x bound ids
     pairs = common.table(_counts(chosen.where("fold > 1").select("text", "y"), 1), f"{folder}/pairs")
     shared = common.table(_counts(texts.select("text"), 0), f"{folder}/shared")
-    v, w = F.shiftright("k", WORD_BITS + 1), F.col("k").bitwiseAND((1 << (WORD_BITS + 1)) - 1)
+    v, w = F.shiftright("k", WORD_BITS + STEM_BITS), F.shiftright("k", STEM_BITS).bitwiseAND((1 << WORD_BITS) - 1)
+    stem = F.col("k").bitwiseAND((1 << STEM_BITS) - 1)
     one = lambda c: F.sum((F.col(c) > 0).cast("long"))
     after = pairs.groupBy(v.alias("w")).agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), one("c0").alias("t0"), one("c1").alias("t1"))
     into = pairs.groupBy(w.alias("w")).agg(one("c0").alias("r0"), one("c1").alias("r1"))
-    words = after.join(into, "w", "full").join(shared.select(F.col("k").alias("w"), F.col("c0").alias("n")), "w", "full").na.fill(0)
+    seen = shared.groupBy(w.alias("w")).agg(F.sum("c0").alias("n"))
+    words = after.join(into, "w", "full").join(seen, "w", "full").na.fill(0).toPandas()  # a row for each word id at most
+    into = pairs.groupBy(stem.alias("w")).agg(one("c0").alias("r0"), one("c1").alias("r1"))
+    seen = shared.groupBy(stem.alias("w")).agg(F.sum("c0").alias("n"))
+    stems = into.join(seen, "w", "full").na.fill(0).toPandas()  # a row for each stem id at most
     singles = pairs.agg(*[F.sum((F.col(f"c{c}") == n).cast("long")).alias(f"m{c}{n}") for c in (0, 1) for n in (1, 2)]).first()
     top = pairs.where("c0 + c1 > 1").orderBy((F.col("c0") + F.col("c1")).desc(), "k").limit(PAIRS).toPandas().sort_values("k")
-    size = (1 << WORD_BITS) + 1
-    table = words.toPandas()  # a row for each word id at most
-    col = lambda name: np.bincount(table["w"].to_numpy(np.int64), weights=table[name].to_numpy(np.float64), minlength=size)
-    n = col("n")
-    n[-1] = 0
-    base = (n + 0.5) / (n.sum() + 0.5 * size)
-    model: dict = {"keys": top["k"].to_numpy(np.int64), "lower": [], "scale": [], "count": [], "total": []}
+
+    def spread(table: pd.DataFrame, name: str, size: int) -> np.ndarray:
+        return np.bincount(table["w"].to_numpy(np.int64), weights=table[name].to_numpy(np.float64), minlength=size)
+
+    n_words, n_stems = (1 << WORD_BITS) + 1, 1 << STEM_BITS
+    n = spread(words, "n", n_words)
+    ns = spread(stems, "n", n_stems)
+    of_stem = (ns + 0.5) / (ns.sum() + 0.5 * n_stems)
+    model: dict = {"keys": top["k"].to_numpy(np.int64), "lower": [], "back": [], "stem": [], "scale": [], "count": [], "total": []}
+    model["base"] = (n + 0.5).astype(np.float32)
+    model["base_stem"] = (ns + 0.5).astype(np.float32)
     for c in (0, 1):
         m1, m2 = singles[f"m{c}1"] or 1, singles[f"m{c}2"] or 1
         d = m1 / (m1 + 2 * m2)
-        into_c, after_c, types = col(f"r{c}"), col(f"n{c}"), col(f"t{c}")
+        into_c, after_c, types = (spread(words, f"{x}{c}", n_words) for x in "rnt")
         kinds = max(into_c.sum(), 1)
-        lower = np.maximum(into_c - d, 0) / kinds + d * (into_c > 0).sum() / kinds * base
-        model["lower"].append(lower.astype(np.float32))
+        model["lower"].append((np.maximum(into_c - d, 0) / kinds).astype(np.float32))
+        model["back"].append(float(d * (into_c > 0).sum() / kinds))
+        into_s = spread(stems, f"r{c}", n_stems)
+        model["stem"].append((np.maximum(into_s - d, 0) / kinds + d * (into_s > 0).sum() / kinds * of_stem).astype(np.float32))
         model["scale"].append((d * types).astype(np.float32))
         model["total"].append(after_c.astype(np.float32))
         model["count"].append(np.maximum(top[f"c{c}"].to_numpy(np.float32) - np.float32(d), 0))
@@ -143,21 +161,24 @@ def train(docs: DataFrame, labels: DataFrame, folder: str, bound: int = LABELLED
 
 
 def evidence(ids: np.ndarray, model: dict) -> np.ndarray:
-    """Mean log ratio per word, and means of the largest log ratios."""
+    """Mean log ratio per word, means of the largest log ratios, how many words pass each level, how densely, and length."""
     if not len(ids):
-        return np.zeros(1 + len(TOP))
+        return np.zeros(EVIDENCE)
     key = pairs_of(ids)
-    before = key >> (WORD_BITS + 1)
+    before, word, stem = key >> (WORD_BITS + STEM_BITS), ids >> STEM_BITS, ids & ((1 << STEM_BITS) - 1)
     at = np.minimum(np.searchsorted(model["keys"], key), max(len(model["keys"]) - 1, 0))
     known = model["keys"][at] == key if len(model["keys"]) else np.zeros(len(key), bool)
+    within = model["base"][word] / model["base_stem"][stem]
     logs = []
     for c in (0, 1):
-        low, total = model["lower"][c][ids], model["total"][c][before]
+        low = model["lower"][c][word] + model["back"][c] * model["stem"][c][stem] * within
+        total = model["total"][c][before]
         hit = np.where(known, model["count"][c][at], 0) if len(model["keys"]) else 0
         logs.append(np.log(np.where(total > 0, (hit + model["scale"][c][before] * low) / np.maximum(total, 1), low) + 1e-30))
     ratio = logs[1] - logs[0]
     best = np.sort(ratio)[::-1]
-    return np.array([ratio.mean(), *[best[:k].mean() for k in TOP]])
+    over = np.array([np.count_nonzero(best > t) for t in LEVELS])
+    return np.array([ratio.mean(), *[best[:k].mean() for k in TOP], *np.log1p(over), *np.sqrt(over / len(ids)), np.log1p(len(ids))])
 
 
 def _rows_of(model: dict):
@@ -196,7 +217,7 @@ def score(docs: DataFrame, labels: DataFrame, folder: str, bound: int = LABELLED
             if m is None:
                 yield pd.Series(np.zeros(len(s)))
                 continue
-            x = np.array([evidence(word_ids(t, cache), m) for t in s]).reshape(-1, 1 + len(TOP))
+            x = np.array([evidence(word_ids(t, cache), m) for t in s]).reshape(-1, EVIDENCE)
             mean, dev, w = m["link"]
             yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + ((x - mean) / dev) @ w[1:], -30, 30))))
 

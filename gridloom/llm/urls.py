@@ -80,7 +80,8 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
         .when(target.startswith("//"), F.concat(scheme, target))
         .when(target.startswith("/"), F.concat(scheme, F.lit("//"), F.col("host"), target))
     )
-    return _pairs(both.select("a", full.alias("to")))
+    # a generator keeps the optimizer from writing this expression out at each of its uses below
+    return _pairs(both.select("a", F.explode_outer(F.array(full)).alias("to")))
 
 
 def redirect_edges(redirects: DataFrame, source: str = "from_url", target: str = "to_url") -> DataFrame:
