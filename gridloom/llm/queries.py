@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, media, mixing, pii, quality, secret_scan, simhash, toxicity, urls
+from . import common, decontaminate, media, mixing, pii, quality, secret_scan, simhash, suffix_dedup, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), common.shared_dir(spark))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), common.shared_dir(spark))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_media": op2_media,
@@ -58,5 +62,6 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op3_url_filter": urls.ORACLE}
