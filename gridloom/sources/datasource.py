@@ -70,19 +70,6 @@ class RasterReader(DataSourceReader):
         self.options, self.o, self.tests = options, scan.Options.parse(options), []
         self.split = int({k.lower(): v for k, v in options.items()}.get("split_bytes", SPLIT_BYTES))
 
-    def pushFilters(self, filters: list) -> Iterator:
-        for f in filters:
-            column = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
-            # mode images exposes file columns too; only columns whose rows are all tested here may leave the plan
-            if column in _PUSHED.get(self.o.mode, ()) and type(f) in _OPS and self.o.error_mode == "FAILFAST":
-                self.tests.append((column, _OPS[type(f)].__name__, f.value))
-            elif column in _PUSHED.get(self.o.mode, ()) and isinstance(f, In) and self.o.error_mode == "FAILFAST":
-                self.tests.append((column, "in", tuple(f.value)))
-            else:
-                if column in _PUSHED.get(self.o.mode, ()) and type(f) in _OPS:  # error rows have nulls, which Spark drops
-                    self.tests.append((column, _OPS[type(f)].__name__, f.value))
-                yield f
-
     def partitions(self) -> list[Stretch]:
         path = {k.lower(): v for k, v in self.options.items()}.get("path")
         if not path:
@@ -114,6 +101,23 @@ class RasterReader(DataSourceReader):
                 src.close()
 
 
+class PushingReader(RasterReader):
+    """Takes over filters; what it can't test on every row stays in the plan too."""
+
+    def pushFilters(self, filters: list) -> Iterator:
+        for f in filters:
+            column = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            # mode images exposes file columns too; only columns whose rows are all tested here may leave the plan
+            if column in _PUSHED.get(self.o.mode, ()) and type(f) in _OPS and self.o.error_mode == "FAILFAST":
+                self.tests.append((column, _OPS[type(f)].__name__, f.value))
+            elif column in _PUSHED.get(self.o.mode, ()) and isinstance(f, In) and self.o.error_mode == "FAILFAST":
+                self.tests.append((column, "in", tuple(f.value)))
+            else:
+                if column in _PUSHED.get(self.o.mode, ()) and type(f) in _OPS:  # error rows have nulls, which Spark drops
+                    self.tests.append((column, _OPS[type(f)].__name__, f.value))
+                yield f
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[str]
@@ -172,13 +176,16 @@ class RasterSource(DataSource):
         return scan.schema_of(scan.Options.parse(self.options))
 
     def reader(self, schema: T.StructType) -> RasterReader:
-        return RasterReader(dict(self.options))
+        plain = {k.lower(): v for k, v in self.options.items()}.get("pushdown") == "false"
+        return (RasterReader if plain else PushingReader)(dict(self.options))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> RasterWriter:
         return RasterWriter(dict(self.options))
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to a session; it needs filter pushdown, unless read with option pushdown=false."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RasterSource)
 
 
@@ -202,7 +209,7 @@ def read_region(spark: SparkSession, path: str, region: parser.Region | None = N
     blocks = read(spark, path, "blocks", **opts)
 
     def gather(key, images, parts):
-            i = images.iloc[0]
+        i = images.iloc[0]
         s = parser.Shape(int(i["width"]), int(i["height"]), int(i["depth"]), int(i["samples"]), int(i["bits"]), int(i["sample_format"]), bool(i["planar"]))
         got = []
         for b in parts.itertuples():
