@@ -113,7 +113,13 @@ def contamination(
     min_items: int = 2,
     broadcast_grams: int = BROADCAST_GRAMS,
 ) -> DataFrame:
-    """One row per document row: ``keep``, n_words, runs (hit word ranges), items, n_hit, n_items, contaminated."""
+    """One row per document row: ``keep``, n_words, n_hit, n_items, items_sha256, contaminated, runs (hit words), items."""
+    out = _judged(docs, benchmark, keep, text, item_id, item_text, span, gram, min_items, broadcast_grams)
+    return out.select("row.*", *[c for c in out.columns if c != "row"])
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, min_items: int = 2, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """As ``contamination`` with the kept columns in one struct, so that their names can't clash."""
     items = benchmark.select(F.col(item_id).alias("item_id"), words(common.text_of(item_text)).alias("w"))
     w = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias("rid"), words(common.text_of(text)).alias("w")
@@ -155,7 +161,7 @@ def contamination(
     n_hit = F.aggregate("runs", F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")), cover, lambda a: a["n"])
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return per.select(
-        "row.*",
+        "row",
         "n_words",
         n_hit.cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
@@ -188,5 +194,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without rows that hold a window of any item; the pipeline's stage."""
-    found = contamination(docs, benchmark, keep=tuple(docs.columns), min_items=1)
-    return found.where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _judged(docs, benchmark, tuple(docs.columns), min_items=1)
+    return found.where(~F.col("contaminated")).select("row.*")

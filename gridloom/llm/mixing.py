@@ -103,10 +103,10 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _named(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add the tree's names and tokens under private names; null is a name of its own."""
+    """The row as one struct, the tree's names and tokens; null is a name of its own."""
     null = F.lit("∅")
     return docs.select(
-        "*",
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         *[F.coalesce(columns[k].cast("string"), null).alias(f"_{k}") for k in LEVELS],
         tokens_of(F.col("text")).alias("_tokens"),
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"),
@@ -152,7 +152,7 @@ def mix_sources(docs: DataFrame, folder: str, mix: Mix | None = None, columns: d
     out = full.unionByName(last).unionByName(edge)
     extra = {"domain": "_domain", "epoch": "_epoch", "tokens": "_tokens", "tokens_taken": "_taken"}
     own = [c for c in docs.columns if c not in extra]
-    return out.select(*[F.col(f"`{c}`") for c in own], *[F.col(v).alias(k) for k, v in extra.items()])
+    return out.select(*[F.col(f"_row.`{c}`") for c in own], *[F.col(v).alias(k) for k, v in extra.items()])
 
 
 def report(docs: DataFrame, folder: str, mix: Mix | None = None) -> DataFrame:

@@ -98,8 +98,14 @@ def scan(
     Columns: ``paths``, blob (hex), one array of hits (s, e, secret_sha256) per rule kind. Appending is Spark's own
     committed write, so a lost executor or a failed run leaves no half-written findings; a repeated run scans nothing.
     """
+    out = _scanned(docs, ledger_path, paths, text, rules, rule_version)
+    return out.select("row.*", *[c for c in out.columns if c != "row"])
+
+
+def _scanned(docs: DataFrame, ledger_path: str, paths: tuple[str, ...], text: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+    """As ``scan`` with the paths in one struct, so that their names can't clash."""
     spark = docs.sparkSession
-    versions = docs.select(*[F.col(f"`{p}`") for p in paths], F.unhex(F.sha2(common.text_of(text), 256)).alias("blob"))
+    versions = docs.select(F.struct(*[F.col(f"`{p}`") for p in paths]).alias("row"), F.unhex(F.sha2(common.text_of(text), 256)).alias("blob"))
     blobs = docs.select(
         F.unhex(F.sha2(common.text_of(text), 256)).alias("blob"), common.text_of(text).alias("text")
     ).groupBy("blob").agg(F.first("text").alias("text"))
@@ -132,24 +138,18 @@ def report(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redacted(docs: DataFrame, ledger_path: str) -> DataFrame:
     """``documents`` with each found secret replaced by ``[SECRET]``; the pipeline's stage. Clean rows stay as they are."""
-    found = scan(docs, ledger_path, paths=tuple(docs.columns))
-    every = F.array_sort(F.concat(*[F.transform(F.col(r.kind), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))) for r in RULES]))
-    text = F.col("text")
+    found = _scanned(docs, ledger_path, tuple(docs.columns))
+    pair = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))
+    found = found.select("row", F.array_sort(F.concat(*[F.transform(F.col(r.kind), pair) for r in RULES])).alias("spans"))
+    text = F.col("row.text")
 
     def cut(acc: Column, x: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
         out = F.when(x["s"] >= acc["at"], F.concat(acc["out"], gap, F.lit("[SECRET]"))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate(
-        every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut,
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))),
-    )
-    return _counted(found, clean, F.size(every) > 0, docs.columns)
-
-
-def _counted(found: DataFrame, clean: Column, hit: Column, columns: list[str]) -> DataFrame:
-    """Replace text, and n_chars where there is one, in rows with a hit."""
-    out = found.withColumn("_hit", hit).withColumn("_clean", F.when(F.col("_hit"), clean))
-    new = {"text": F.coalesce("_clean", "text"), "n_chars": F.when(F.col("_hit"), F.char_length("_clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in columns else None}
-    return out.select(*[new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in columns])
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    out = found.select("row", F.when(F.size("spans") > 0, clean).alias("clean"))
+    new = {"text": F.coalesce("clean", "row.text"), "n_chars": F.when(F.col("clean").isNotNull(), F.char_length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

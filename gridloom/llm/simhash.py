@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import components
@@ -51,7 +52,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits((2 * count > n).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
         yield pd.Series([fingerprint(t) for t in s], dtype="int64")
@@ -196,6 +197,6 @@ def keep_one(docs: DataFrame, folder: str) -> DataFrame:
     """``docs`` with one row for each near-duplicate group: the least doc_id. Rows that repeat a doc_id count as copies;
     rows without an id can't be told apart and all stay."""
     groups = cluster(docs, folder)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, docs.doc_id == first._id).drop("_id").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -352,7 +353,7 @@ def _free() -> None:
     SparkContext._active_spark_context._jvm.System.gc()
 
 
-@F.pandas_udf("n_removed long, n_spans long, kept_sha256 string")
+@F.pandas_udf(T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]))
 def _keep(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
     out = []
     for t, spans in zip(texts, cuts, strict=True):
