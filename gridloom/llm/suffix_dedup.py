@@ -37,7 +37,7 @@ from . import common
 
 SPAN = 50
 GRAM = 16
-BUSY = 2000
+BUSY = 20_000  # rows of one gram that a merging task may hold: some 60 MB
 RUN_ROWS = 200_000
 RANGE_ROWS = 100_000
 _REACH = SPAN - GRAM + 1  # grams in a window
@@ -404,8 +404,7 @@ def repeats(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, int]:
     once = source.where("doc_id is not null").groupBy("g").agg(F.min("doc_id").alias("m"), F.first("text").alias("text")).join(chosen, "g")
     n = chosen.agg(F.coalesce(F.sum(F.size("packs")), F.lit(0)).alias("n")).first().n  # one number
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))
-    runs = common.table(once.select("g", "m", "text", "packs").where(F.size("packs") > 0).mapInArrow(_runs_of(ranges), "range int, run binary"), f"{folder}/runs")
-    _free()
+    runs = once.select("g", "m", "text", "packs").where(F.size("packs") > 0).mapInArrow(_runs_of(ranges), "range int, run binary")
     dealt = runs.repartition(ranges, "range").sortWithinPartitions("range")
     found = dealt.mapInArrow(_merge_ranges, "g long, s long, e long")
     busy = chosen.where(F.size("busy") > 0)

@@ -487,7 +487,7 @@ def corpus(rng):
     return docs
 
 
-@pytest.mark.parametrize("busy", [2000, 3])
+@pytest.mark.parametrize("busy", [20_000, 3])
 def test_repeated_passages(spark, awkward, folder, busy, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BUSY", busy)
     docs = corpus(random.Random(11)) + [(r.doc_id, r.text) for r in awkward.collect() if len(r.text or "") < 100_000]
