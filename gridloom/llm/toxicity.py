@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from . import common
 
 LABELLED = 20_000
-PAIRS = 1_000_000
-WORD_BITS = 20
-STEM_BITS = 18
+PAIRS = 300_000
+WORD_BITS = 18
+STEM_BITS = 16
 STEM = 5
 WORD = re.compile(r"\w+")
 TOP = (1, 2, 4, 8, 16)
