@@ -157,3 +157,34 @@ def mix_sources(docs: DataFrame, folder: str, mix: Mix | None = None, columns: d
 
 def report(docs: DataFrame, folder: str, mix: Mix | None = None) -> DataFrame:
     return mix_sources(docs.select("doc_id", "text", "lang", "source"), folder, mix).drop("text")
+
+
+def oracle(mix: Mix | None = None) -> str:
+    """DuckDB SQL for ``report``."""
+    mix = mix or Mix()
+    weight = lambda level: "CASE " + level + "".join(f" WHEN '{k}' THEN {v}" for k, v in mix.weights[level].items()) + f" ELSE {mix.default} END" if mix.weights[level] else str(mix.default)
+    steps, up = [], "goal"
+    for i, level in enumerate(LEVELS):
+        keys, parent = ", ".join(LEVELS[: i + 1]), ", ".join(LEVELS[:i]) or "1"
+        link = f"JOIN up{i - 1} USING ({parent})" if i else ", goal"
+        part, order = f"PARTITION BY {parent}", f"ORDER BY cap::DOUBLE / w, {level}"
+        steps.append(f"""
+n{i} AS (SELECT x.*, total FROM (SELECT {keys}, sum(tokens * {mix.max_epochs}) AS cap, {weight(level)} AS w FROM leaf GROUP BY {keys}) x {link}),
+a{i} AS (SELECT * REPLACE (least(total, sum(cap) OVER ({part})) AS total) FROM n{i}),
+b{i} AS (SELECT *, total - coalesce(sum(cap) OVER ({part} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rem, sum(w) OVER ({part} {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM a{i}),
+c{i} AS (SELECT *, cap = 0 OR cap::HUGEINT * rest <= rem::HUGEINT * w AS done FROM b{i}),
+d{i} AS (SELECT *, total - coalesce(sum(cap) FILTER (done) OVER ({part}), 0) AS pot, sum(w) FILTER (NOT done) OVER ({part}) AS weight FROM c{i}),
+e{i} AS (SELECT *, CASE WHEN done THEN cap ELSE pot::HUGEINT * w // weight END AS part, CASE WHEN done THEN -1 ELSE pot::HUGEINT * w % weight END AS over FROM d{i}),
+f{i} AS (SELECT *, pot - coalesce(sum(part) FILTER (NOT done) OVER ({part}), 0) AS spare, row_number() OVER ({part} ORDER BY over DESC, {level}) AS rn FROM e{i}),
+up{i} AS (SELECT {keys}, (part + CASE WHEN NOT done AND rn <= spare THEN 1 ELSE 0 END)::BIGINT AS total FROM f{i})""")
+    return f"""
+WITH doc AS (SELECT doc_id, documents.lang AS own_lang, documents.source AS own_source, CASE WHEN md5(coalesce(source, '')) < '8' THEN 'web' ELSE 'curated' END AS domain,
+       coalesce(lang, '∅') AS lang, coalesce(source, '∅') AS source, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM doc GROUP BY ALL),
+goal AS (SELECT (coalesce(sum(tokens), 0) * {mix.share[0]} // {mix.share[1]})::BIGINT AS total FROM leaf),{",".join(steps)},
+plan AS (SELECT domain, lang, source, total // leaf.tokens AS epochs, total % leaf.tokens AS rest FROM leaf JOIN up2 USING (domain, lang, source) WHERE leaf.tokens > 0),
+row_ AS (SELECT *, md5('{mix.seed}:' || epochs::BIGINT || ':' || coalesce(doc_id::VARCHAR, '')) AS k FROM doc JOIN plan USING (domain, lang, source) WHERE tokens > 0),
+put AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, coalesce(doc_id::VARCHAR, ''), tokens ROWS UNBOUNDED PRECEDING) - tokens AS start FROM row_)
+SELECT doc_id, own_lang AS lang, own_source AS source, domain, e::BIGINT AS epoch, tokens, tokens AS tokens_taken FROM row_, unnest(range(epochs::BIGINT)) AS u(e)
+UNION ALL
+SELECT doc_id, own_lang, own_source, domain, epochs::BIGINT, tokens, least(tokens, rest - start)::BIGINT FROM put WHERE start < rest"""

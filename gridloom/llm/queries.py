@@ -64,4 +64,10 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op3_url_filter": urls.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op3_url_filter": urls.ORACLE,
+    "op4_mixing": mixing.oracle(),
+    "op6_secret_scan": secret_scan.oracle(),
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
+}

@@ -136,6 +136,26 @@ def report(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
+def oracle() -> str:
+    """DuckDB SQL for ``report``: gaps between matches and the matches give all positions."""
+    quote = lambda x: x.replace("'", "''")
+    rules = ", ".join(f"({k}, '{r.kind}', '{quote(r.pattern)}', {r.least})" for k, r in enumerate(RULES) if not r.group)
+    assign = quote(RULES[0].pattern)
+    base = f"FILTER (k < {BASE})"
+    return f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+plain AS (SELECT doc_id, k, kind, regexp_extract_all(t, p) AS ms, regexp_extract_all(t, p) AS gs, string_split_regex(t, p) AS gaps, least FROM doc, (VALUES {rules}) AS r(k, kind, p, least)),
+assign AS (SELECT doc_id, 0 AS k, 'assign' AS kind, regexp_extract_all(t, '{assign}') AS ms, regexp_extract_all(t, '{assign}', 2) AS gs, string_split_regex(t, '{assign}') AS gaps, {RULES[0].least} AS least FROM doc),
+hit AS (SELECT doc_id, k, kind, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0))::BIGINT AS s, length(ms[i]) AS n, length(gs[i]) AS g, least
+        FROM (SELECT * FROM plain UNION ALL SELECT * FROM assign), unnest(range(1, len(ms) + 1)) AS u(i) WHERE len(ms) > 0),
+span AS (SELECT doc_id, k, s, kind || ':' || s || ':' || (s + n) AS txt FROM hit WHERE g >= least),
+per AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
+        string_agg(txt, ',' ORDER BY s, k) {base} AS base, string_agg(txt, ',' ORDER BY s, k) AS spans FROM span GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(t) AS blob
+FROM doc LEFT JOIN per USING (doc_id)"""
+
+
 def redacted(docs: DataFrame, ledger_path: str) -> DataFrame:
     """``documents`` with each found secret replaced by ``[SECRET]``; the pipeline's stage. Clean rows stay as they are."""
     found = _scanned(docs, ledger_path, tuple(docs.columns))

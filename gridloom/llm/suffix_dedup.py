@@ -435,3 +435,18 @@ def remove_repeats(docs: DataFrame, folder: str) -> DataFrame:
         F.when(copy, F.lit(1).cast("long")).when(own, F.col("n_spans")).otherwise(zero).alias("n_spans"),
         F.when(copy, common.EMPTY_SHA256).when(own, F.col("kept_sha256")).otherwise(F.col("full")).alias("kept_sha256"),
     )
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, p, substring(x, 2 * p + 1, 100) AS w FROM d, unnest(range(n - 49)) AS t(p)),
+f AS (SELECT w, min(doc_id) AS least FROM w GROUP BY w),
+h AS (SELECT doc_id, p, CASE WHEN p - 50 <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) THEN 0 ELSE 1 END AS fresh FROM w JOIN f USING (w) WHERE doc_id > least),
+r AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM h),
+s AS (SELECT doc_id, min(p) AS s, max(p) + 50 AS e FROM r GROUP BY doc_id, run),
+k AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS b FROM (SELECT * FROM s UNION ALL SELECT doc_id, n, n FROM d)),
+t AS (SELECT doc_id, string_agg(substring(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
