@@ -34,7 +34,7 @@ def spec_left_join(spec: DataFrame, tags: DataFrame) -> DataFrame:
 
 def defined_count(columns: list[str]) -> Column:
     """How many of the tags are present."""
-    return F.size(F.array_compact(F.array(*[F.col(c).isNotNull().cast("int").cast("string") for c in columns]))) if not columns else sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
+    return sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
 
 
 def or_default(name: str, default: object) -> Column:

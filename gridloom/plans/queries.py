@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import binary, codecs, predictors
+from ..functions import binary, codecs, predictors, results
 from ..functions.constants import COMPRESSION, SPECS, enum_names, tag_names
 from ..operators import grid, layout, spans, tags
 
@@ -471,6 +471,25 @@ def date_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.date_format(binary.date_time(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 THEN o_orderkey * 2 + 1 WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN 7 END AS value, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE 'ReadError' END WHEN o_orderkey % 5 = 0 THEN 'OutOfBounds' END AS error_code, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey * 2 ELSE -1 END AS fallback FROM orders")
+def result_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value that may fail in two steps, with recovery from one kind of failure."""
+    k = F.col("o_orderkey")
+    first = results.transform(results.ensure(k, k % 3 != 0, "ReadError"), lambda v: v * 2)
+    o = _read(spark, sf_dir, "orders").select("o_orderkey", first.alias("a"))
+    then = results.and_then(F.col("a"), lambda v: results.ensure(v + 1, v % 5 != 0, "OutOfBounds"))
+    spare = F.struct(F.when(k % 2 == 0, F.lit(7).cast("long")).alias("value"), F.lit(None).cast("string").alias("error_code"))
+    o = o.select("o_orderkey", "a", then.alias("b"))
+    back = results.or_else(F.col("b"), lambda code: F.when((code == "ReadError") & (k % 2 == 0), spare).otherwise(F.struct(F.lit(None).cast("long").alias("value"), code.alias("error_code"))))
+    return o.select("o_orderkey", back.alias("c"), results.value_or(F.col("a"), F.lit(-1).cast("long")).alias("fallback")).select("o_orderkey", "c.value", "c.error_code", "fallback")
+
+
+@query("SELECT doc_id % 8 AS img, sum(n_chars)::BIGINT AS bytes, round(sum(n_chars) / 2.0 / 1000000, 6) AS mb_per_s FROM documents GROUP BY 1")
+def total_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 8).alias("img")).agg(F.sum("n_chars").alias("bytes"))
+    return d.select("img", "bytes", F.round(spans.throughput(F.col("bytes"), F.lit(2.0)), 6).alias("mb_per_s"))
+
+
 @query()
 def known_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_names(spark)

@@ -8,14 +8,14 @@ from __future__ import annotations
 import mmap
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 from ..functions import predictors
 from ..functions.codecs import codec_of
-from ..functions.constants import PIXEL_DTYPE, TYPE_CODE, TYPE_LETTER, TYPE_NAME, TYPE_SIZE, RasterError, Tag
+from ..functions.constants import PIXEL_DTYPE, TYPE_LETTER, TYPE_NAME, TYPE_SIZE, RasterError, Tag
 
 
 class BufferSource:
@@ -95,7 +95,18 @@ class StoreSource(BufferSource):
         self.file.close()
 
 
+_OPENERS: dict[str, Callable[[str], BufferSource]] = {}
+
+
+def register_source(prefix: str, opener: Callable[[str], BufferSource]) -> None:
+    """Open paths with this prefix by one's own source: an object with size, read, exact and close."""
+    _OPENERS[prefix] = opener
+
+
 def open_source(path: str) -> BufferSource:
+    for prefix, opener in _OPENERS.items():
+        if path.startswith(prefix):
+            return opener(path)
     if path.startswith("file:"):
         path = path.removeprefix("file://").removeprefix("file:")
     return StoreSource(path) if "://" in path else FileSource(path)
@@ -439,7 +450,3 @@ def assemble(s: Shape, region: Region, parts, layout: str = "DHWC", fill: int =
         out[z0 - r.z : z1 - r.z, y0 - r.y : y1 - r.y, x0 - r.x : x1 - r.x, c0 - r.c : c1 - r.c] = cut if s.planar else cut[..., c0:c1]
     axes = {"DHWC": (0, 1, 2, 3), "DCHW": (0, 3, 1, 2), "CDHW": (3, 0, 1, 2)}[layout]
     return np.ascontiguousarray(out.transpose(axes))
-
-
-def type_of(name: str) -> int:
-    return TYPE_CODE[name]

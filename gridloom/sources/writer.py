@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from ..functions import predictors
 from ..functions.codecs import codec_of
-from ..functions.constants import COMPRESSION, PHOTOMETRIC, PREDICTOR, SAMPLE_FORMAT, TAGS, TYPE_CODE, TYPE_LETTER, TYPE_SIZE, RasterError, Tag
+from ..functions.constants import COMPRESSION, PHOTOMETRIC, PREDICTOR, SAMPLE_FORMAT, TAGS, TYPE_CODE, TYPE_LETTER, RasterError, Tag
 from ..operators.layout import fetch_padded
 
 # Named bundles of write policies.
@@ -170,13 +171,13 @@ def encode_image(im: Image, order: str = "<") -> list[Chunk]:
     return out
 
 
-def place(chunks: list[Chunk], start: int, tile_order: str = "image") -> tuple[list[int], bytes]:
-    """(offsets by index, the data in write order)."""
+def place(chunks: list[Chunk], start: int, tile_order: str | Callable[[Chunk], object] = "image") -> tuple[list[int], bytes]:
+    """(offsets by index, the data in write order). The order is a named policy or a sort key of chunks."""
     key = {"image": lambda c: (c.z, c.plane, c.y, c.x), "sequential": lambda c: c.idx, "on_demand": lambda c: 0}
-    if tile_order not in key:
+    if not callable(tile_order) and tile_order not in key:
         raise ValueError(f"unknown tile order {tile_order}")
     offsets, parts, at = [0] * len(chunks), [], start
-    for c in sorted(chunks, key=key[tile_order]):
+    for c in sorted(chunks, key=tile_order if callable(tile_order) else key[tile_order]):
         offsets[c.idx] = at
         parts.append(c.data)
         at += len(c.data)
@@ -213,7 +214,7 @@ def mandatory_tags(im: Image, counts: list[int]) -> dict[str, object]:
     return tags | im.tags
 
 
-def write(images: Image | list[Image], *, order: str = "<", big: bool = False, ifd_placement: str = "beginning", tile_order: str = "image", preset: str | None = None) -> bytes:
+def write(images: Image | list[Image], *, order: str = "<", big: bool = False, ifd_placement: str = "beginning", tile_order: str | Callable[[Chunk], object] = "image", preset: str | None = None) -> bytes:
     """A whole file of one or several pages."""
     if preset:
         ifd_placement, tile_order = PRESETS[preset]["ifd_placement"], PRESETS[preset]["tile_order"]
@@ -246,7 +247,3 @@ def write(images: Image | list[Image], *, order: str = "<", big: bool = False, i
         patch = where + builder.ifd_size - (8 if big else 4)
     out[: 16 if big else 8] = header_bytes(first or 0, order, big)
     return bytes(out)
-
-
-def sizes() -> dict[int, int]:
-    return dict(TYPE_SIZE)

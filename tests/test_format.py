@@ -208,7 +208,10 @@ def test_packbits_bytes():
             unpackbits(bad, room)
 
 
-def test_codec_registry():
+def test_codec_registry(monkeypatch):
+    from gridloom.functions import codecs
+
+    monkeypatch.setattr(codecs, "_CODECS", codecs.codec_registry())
     data = bytes(range(256)) * 9
     assert unzstd(zstd(data), len(data)) == data
     with pytest.raises(C.RasterError, match="InvalidFormat"):
@@ -315,3 +318,12 @@ def test_sources(tmp_path):
         src.close()
     with pytest.raises(C.RasterError, match="FileNotFound"):
         P.FileSource(str(tmp_path / "none"))
+
+
+def test_own_sources_and_orders(monkeypatch):
+    monkeypatch.setattr(P, "_OPENERS", {})
+    P.register_source("mem:", lambda path: P.BufferSource(golden()))
+    assert P.header(P.open_source("mem:x")).first == 16
+    x = image("u1", 40, 40)
+    data = W.write(W.Image(x, (1, 16, 16)), tile_order=lambda c: -c.idx)
+    assert (load(data) == x).all()
