@@ -15,6 +15,7 @@ import functools
 import math
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,42 +134,32 @@ def training_rows() -> list[tuple[str, str, int]]:
 
 
 def _boost(x: list[tuple], y: list[int]) -> tuple[float, list]:
-    """Depth-two trees on the gradient of the log loss: (prior, [(feature, cut, (left leaf or split), ...)])."""
-    prior = math.log((sum(y) + 1) / (len(y) - sum(y) + 1))
-    score, trees = [prior] * len(y), []
-    cuts = [(f, c) for f in range(len(x[0])) for c in sorted({r[f] for r in x})[1:17]]
-
-    def split(rows: list[int], g: list[float], h: list[float]):
-        best = None
-        total_g, total_h = sum(g[i] for i in rows), sum(h[i] for i in rows)
-        for f, c in cuts:
-            lg = lh = 0.0
-            for i in rows:
-                if x[i][f] < c:
-                    lg += g[i]
-                    lh += h[i]
-            gain = lg * lg / (lh + 1) + (total_g - lg) ** 2 / (total_h - lh + 1)
-            if best is None or gain > best[0] + 1e-12:
-                best = (gain, f, c)
-        return best
-
-    leaf = lambda rows, g, h: RATE * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + 1)
+    """Depth-two trees on the gradient of the log loss: (prior, [(feature, cut, low side, high side)]); a side is (feature,
+    cut, leaf, leaf)."""
+    rows, label = np.array(x, float), np.array(y, float)
+    cuts = [(f, c) for f in range(rows.shape[1]) for c in sorted(set(rows[:, f]))[1:17]]
+    below = np.array([rows[:, f] < c for f, c in cuts])
+    prior = math.log((label.sum() + 1) / (len(y) - label.sum() + 1))
+    score, trees = np.full(len(y), prior), []
+
+    def split(part: np.ndarray, g: np.ndarray, h: np.ndarray) -> int:
+        lg, lh = below @ (g * part), below @ (h * part)
+        gain = lg**2 / (lh + 1) + ((g * part).sum() - lg) ** 2 / ((h * part).sum() - lh + 1)
+        return int(np.argmax(np.round(gain, 9)))
+
     for _ in range(ROUNDS):
-        p = [1 / (1 + math.exp(-s)) for s in score]
-        g, h = [t - q for t, q in zip(y, p)], [q * (1 - q) for q in p]
-        _, f, c = split(range(len(y)), g, h)
-        tree = [f, c]
-        for side in (lambda v: v < c, lambda v: v >= c):
-            rows = [i for i in range(len(y)) if side(x[i][f])]
-            _, f2, c2 = split(rows, g, h)
-            low, high = [i for i in rows if x[i][f2] < c2], [i for i in rows if x[i][f2] >= c2]
-            a, b = leaf(low, g, h), leaf(high, g, h)
-            tree.append((f2, c2, a, b))
-            for i in low:
-                score[i] += a
-            for i in high:
-                score[i] += b
-        trees.append(tuple(tree))
+        p = 1 / (1 + np.exp(-score))
+        g, h = label - p, p * (1 - p)
+        top = split(np.ones(len(y), bool), g, h)
+        sides = []
+        for part in (below[top], ~below[top]):
+            i = split(part, g, h)
+            leaves = []
+            for leaf in (part & below[i], part & ~below[i]):
+                leaves.append(float(RATE * g[leaf].sum() / (h[leaf].sum() + 1)))
+                score[leaf] += leaves[-1]
+            sides.append((*cuts[i], *leaves))
+        trees.append((*cuts[top], *sides))
     return prior, trees
 
 
@@ -212,8 +203,8 @@ def fit(spark: SparkSession) -> tuple[tuple[float, list], dict[str, float]]:
 def _score(x: Column, model: tuple[float, list]) -> Column:
     total = F.lit(float(model[0]))
     for f, c, low, high in model[1]:
-        side = lambda t: F.when(x[FEATURES[t[0]]] < t[1], F.lit(float(t[2]))).otherwise(F.lit(float(t[3])))
-        total = total + F.when(x[FEATURES[f]] < c, side(low)).otherwise(side(high))
+        side = lambda t: F.when(x[FEATURES[t[0]]] < int(t[1]), F.lit(float(t[2]))).otherwise(F.lit(float(t[3])))
+        total = total + F.when(x[FEATURES[f]] < int(c), side(low)).otherwise(side(high))
     return total
 
 

@@ -12,7 +12,7 @@ Labels come only from rows with crc32(doc_id as text) mod 5 <> 0: remainder 1 fi
 first; the shared counts cover every row of the corpus.
 
 Defined results: a null text is empty; an empty text gets the score of no evidence; a null doc_id is never held out nor
-labelled; without toxic or ordinary labels every score is 0.0; repeated rows get equal scores.
+labelled; where the labelled rows are too few to fit models and link for both classes every score is 0.0; repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -109,13 +109,12 @@ def labelled(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, folder: str, bound: int = LABELLED) -> dict | None:
-    """Model arrays, of a size bounded by ``PAIRS`` and the number of word ids; None without both classes."""
+    """Model arrays, of a size bounded by ``PAIRS`` and the number of word ids; None unless both parts of the labelled rows have both classes."""
     texts = docs.select("doc_id", "text")
     few = common.table(labelled(labels, bound).coalesce(1), f"{folder}/labelled")
-    classes = {(r.y, r.fold == 1) for r in few.select("y", "fold").distinct().collect()}  # eight rows at most
-    if len(classes) < 4:
-        return None
     chosen = common.table(texts.join(F.broadcast(few), "doc_id").select("text", "y", "fold"), f"{folder}/chosen")  # 2 x bound ids
+    if len({(r.y, r.fold == 1) for r in chosen.select("y", "fold").distinct().collect()}) < 4:  # eight rows at most
+        return None
     pairs = common.table(_counts(chosen.where("fold > 1").select("text", "y"), 1), f"{folder}/pairs")
     shared = common.table(_counts(texts.select("text"), 0), f"{folder}/shared")
     v, w = F.shiftright("k", WORD_BITS + STEM_BITS), F.shiftright("k", STEM_BITS).bitwiseAND((1 << WORD_BITS) - 1)
