@@ -3,17 +3,11 @@
 import random
 
 import pytest
+from llm_texts import words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def words(rng, n):
-    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
-
-
-VOCABULARY = ["".join(random.Random(i).choice("abcdefghijklmnopqrstuvwxyzéü") for _ in range(3 + i % 5)) for i in range(400)]
-
-
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Rows that every operator has to survive."""

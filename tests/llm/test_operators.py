@@ -9,7 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
-from conftest import words as make_words  # noqa: F401  tests/llm/conftest.py
+from llm_texts import words
 from pyspark.sql import functions as F
 
 from gridloom.llm import components, decontaminate, media, mixing, pii, quality, secret_scan, simhash, suffix_dedup, toxicity, urls
@@ -22,10 +22,6 @@ def table(df):
     return [tuple(r) for r in df.collect()]
 
 
-def words(rng, n):
-    return make_words(rng, n)
-
-
 # --- 1 ---------------------------------------------------------------------------------------------------------------
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

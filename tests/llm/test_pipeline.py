@@ -7,7 +7,7 @@ import sys
 from pathlib import Path
 
 import pytest
-from conftest import words  # tests/llm/conftest.py
+from llm_texts import words
 
 REPO = Path(__file__).resolve().parents[2]
 
