@@ -16,13 +16,17 @@ EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the one the cluster shares (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, a local folder is made and set.
+    Only where neither that setting nor a checkpoint folder is there, as in tests, a local one is made and set.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
+    path = context._jvm.org.apache.hadoop.fs.Path(base)  # named in full, as Python readers don't know Hadoop's default store
+    base = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = "file://" + base.removeprefix("file:")
     return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
 
 
