@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -346,11 +347,16 @@ def _busy_hits(rows: DataFrame, folder: str) -> DataFrame:
 
 
 def _free() -> None:
-    """Let Spark drop shuffle files of finished steps: it does so when their plans are collected as garbage."""
+    """Let Spark drop shuffle files of finished steps: it does so, in a thread of its own, once their plans are garbage.
+
+    What Python lets go in the first round is garbage in the JVM in the second.
+    """
     from pyspark import SparkContext
 
-    gc.collect()
-    SparkContext._active_spark_context._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        SparkContext._active_spark_context._jvm.System.gc()
+        time.sleep(0.5)
 
 
 @F.pandas_udf(T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]))
