@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, near_copies
 from .components import components
 
 BITS = 64
@@ -194,9 +194,6 @@ def report(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, folder: str) -> DataFrame:
-    """``docs`` with one row for each near-duplicate group: the least doc_id. Rows that repeat a doc_id count as copies;
-    rows without an id can't be told apart and all stay."""
-    groups = cluster(docs, folder)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """``docs`` without near copies by the pipeline's rule, five-word shingles of similarity 0.8, which no radius of
+    ``cluster`` covers: see ``near_copies``."""
+    return near_copies.keep_one(docs, folder)
