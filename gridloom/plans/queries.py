@@ -390,6 +390,15 @@ def ascii_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.char_length(binary.ascii_trim(F.concat(F.substring("text", 1, 50), F.lit("\x00\x00")))).cast("long").alias("n"))
 
 
+@query("SELECT doc_id, len(string_split(t, chr(1))) - CASE WHEN ends_with(t, chr(1)) THEN 1 ELSE 0 END AS n, string_split(t, chr(1))[1] AS first, string_split(rtrim(t, chr(1)), chr(1))[-1] AS last FROM (SELECT doc_id, replace(text, ' ', chr(1)) AS t FROM documents)")
+def nul_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nul_split over whole texts; the SQL of ``nul_split`` holds a prefix."""
+    d = _read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(" "), F.lit("\x00")).alias("t"))
+    parts = binary.nul_split(F.col("t"))
+    last = F.element_at(binary.nul_split(binary.ascii_trim(F.col("t"))), -1)
+    return d.select("doc_id", F.size(parts).cast("long").alias("n"), F.get(parts, F.lit(0)).alias("first"), last.alias("last"))
+
+
 @query("SELECT o_orderkey, dtype, CASE WHEN dtype IN (3, 4) THEN o_orderkey END AS value, CASE WHEN dtype IN (3, 4) THEN NULL ELSE 'InvalidTagType' END AS error_code FROM (SELECT o_orderkey, 1 + o_orderkey % 6 AS dtype FROM orders)")
 def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 6).alias("dtype"))
