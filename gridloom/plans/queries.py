@@ -399,6 +399,14 @@ def nul_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size(parts).cast("long").alias("n"), F.get(parts, F.lit(0)).alias("first"), last.alias("last"))
 
 
+@query("SELECT doc_id, length(text) AS n, sha256(text) AS digest FROM documents")
+def ascii_trim_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ascii_trim over whole texts; the SQL of ``ascii_trim`` holds a prefix."""
+    t = binary.ascii_trim(F.concat("text", F.lit("\x00\x00")))
+    d = _read(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    return d.select("doc_id", F.char_length("t").cast("long").alias("n"), F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
+
+
 @query("SELECT o_orderkey, dtype, CASE WHEN dtype IN (3, 4) THEN o_orderkey END AS value, CASE WHEN dtype IN (3, 4) THEN NULL ELSE 'InvalidTagType' END AS error_code FROM (SELECT o_orderkey, 1 + o_orderkey % 6 AS dtype FROM orders)")
 def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 6).alias("dtype"))
