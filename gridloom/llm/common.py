@@ -30,9 +30,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` once as Parquet and read it back: the lineage ends at the shared folder."""
-    df.write.mode("overwrite").parquet(path)
+    """Write ``df`` once as Parquet and read it back: the lineage ends at the shared folder.
+
+    The plan never runs again, so Spark may drop its shuffle files as soon as the write has ended.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,7 +59,3 @@ def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; plain ASCII texts take the byte-wise path."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
-
-def drop_clashing(df: DataFrame, *names: str) -> DataFrame:
-    """Keep only the named columns, so that extra columns can't clash with those that are added."""
-    return df.select(*[F.col(f"`{n}`") for n in names])

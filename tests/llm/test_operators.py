@@ -483,14 +483,29 @@ def corpus(rng):
     return docs
 
 
-@pytest.mark.parametrize("busy", [20_000, 3])
-def test_repeated_passages(spark, awkward, folder, busy, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BUSY", busy)
-    docs = corpus(random.Random(11)) + [(r.doc_id, r.text) for r in awkward.collect() if len(r.text or "") < 100_000]
-    got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), folder).collect()
+@pytest.mark.parametrize("crowd,run_rows", [(20_000, 200_000), (3, 40)])
+def test_repeated_passages(spark, awkward, folder, crowd, run_rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000 if crowd == 3 else 8 << 20)
+    rng = random.Random(11)
+    docs = corpus(rng) + [(r.doc_id, r.text) for r in awkward.collect()]
+    long_ = words(rng, 40_000)
+    docs += [(400, long_), (401, "x" + long_[5000:90_000] + "y" + long_[100_000:]), (2, long_[7000:7300])]
+    assert len(long_) > 200_000
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), folder, crowd, run_rows).collect()
     assert Counter(map(tuple, got)) == Counter(repeats(docs))
 
 
+def test_a_gram_in_very_many_texts(spark, folder):
+    """Surroundings that mostly differ, below one gram that every text holds."""
+    rng = random.Random(14)
+    ends = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    docs = [(i, rng.choice(ends) + str(i % 7919).rjust(18, "x") + "the same 16 bytes" + rng.choice(ends) * 4) for i in range(105_000)]
+    frame = spark.createDataFrame(docs, "doc_id int, text string")
+    got = suffix_dedup.remove_repeats(frame, folder).collect()
+    assert Counter(map(tuple, got)) == Counter(repeats(docs))
+    assert spark.read.parquet(f"{folder}/shared").count() > 0
+
+
 def test_repeats_in_awkward_tables(awkward, clashing, empty, folder):
     assert suffix_dedup.remove_repeats(clashing, folder + "/c").count() == clashing.count()
     assert table(suffix_dedup.remove_repeats(empty, folder + "/e")) == []
@@ -498,27 +513,39 @@ def test_repeats_in_awkward_tables(awkward, clashing, empty, folder):
 
 def test_loser_tree_and_front_coding():
     rng = random.Random(12)
+    common_ = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
     for n_runs in (1, 2, 3, 7, 16):
         all_, runs = [], []
         for r in range(n_runs):
-            keys = sorted(bytes(8) + bytes(rng.choice(b"ab\0") for _ in range(rng.randint(16, 50))) for _ in range(rng.randint(1, 60)))
+            keys = sorted(bytes(8) + bytes(rng.choice(b"ab\0") for _ in range(4)) * 10 + bytes(suffix_dedup.WIDTH - 50) + bytes([0, rng.randrange(3)]) for _ in range(rng.randint(1, 60)))
             all_ += keys
-            blob = suffix_dedup.front_code(keys, [k[8:11] for k in keys], np.arange(len(keys)) % 3, np.arange(len(keys)) * 5, [(r, 1), (r, 2), (r, 3)])
-            assert [(k, x[0], x[3]) for _, k, x in suffix_dedup.read_run(blob)] == [(k, k[8:11], 5 * i) for i, k in enumerate(keys)]
+            matrix = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
+            shared = np.array([0] + [common_(a, b) for a, b in zip(keys, keys[1:], strict=False)])
+            blob = suffix_dedup.front_code(matrix, shared, np.arange(len(keys)) % 3, np.arange(len(keys)) * 5, r)
+            assert [(k, x) for _, k, x in suffix_dedup.read_run(blob)] == [(k, (r, i % 3, 5 * i)) for i, k in enumerate(keys)]
             runs.append(blob)
         out = list(suffix_dedup.merge([suffix_dedup.read_run(b) for b in runs]))
         assert [k for _, k, _ in out] == sorted(all_)
         for (_, a, _), (same, b, _) in zip(out, out[1:], strict=False):
-            shared = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-            assert same == shared
+            assert same == common_(a, b)
     assert list(suffix_dedup.merge([])) == []
 
 
 def test_anchors_cover_all_windows():
     rng = random.Random(13)
-    for n in (0, 49, 50, 51, 300, 130_000):
-        data = bytes(rng.choice(b"abcd ") for _ in range(n))
-        pos, _, first, last = suffix_dedup.anchors(data)
+    for sizes in ([0], [49], [50], [51], [300], [130_000], [60, 3, 0, 49, 50, 200, 70_000, 51, 60_000], [40] * 5):
+        data = bytes(rng.choice(b"abcd ") for _ in range(sum(sizes)))
+        pos, h, first, last = suffix_dedup.anchors(data, np.array(sizes))
         starts = [p for a, b in zip(first.tolist(), last.tolist(), strict=True) for p in range(a, b + 1)]
-        assert starts == list(range(max(n - 49, 0)))
+        want, at = [], 0
+        for n in sizes:
+            want += range(at, at + n - 49)
+            at += n
+        assert starts == want
         assert all(a <= p and b >= p - 34 for p, a, b in zip(pos.tolist(), first.tolist(), last.tolist(), strict=True))
+        if len(sizes) > 1:  # the same anchors as text by text
+            one, at = [], 0
+            for n in sizes:
+                one += (suffix_dedup.anchors(data[at : at + n])[0] + at).tolist()
+                at += n
+            assert pos.tolist() == one
