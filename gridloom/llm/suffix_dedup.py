@@ -218,16 +218,18 @@ def suffixes(padded: np.ndarray, pos: np.ndarray, right: np.ndarray, left: np.nd
 
 
 def front_code(keys: np.ndarray, shared: np.ndarray, g: np.ndarray, pos: np.ndarray, block: int) -> bytes:
-    """Sorted suffixes as bytes: shared prefix lengths, remainders, texts and positions. The first shares nothing."""
+    """Sorted suffixes as bytes: texts, positions, shared prefix lengths and remainders, compressed. The first shares nothing."""
     shared = np.concatenate([[0], shared[1:]]).astype(np.uint8)
     used, index = np.unique(g, return_inverse=True)
     rest = keys[np.arange(WIDTH) >= shared[:, None]]
     parts = (struct.pack(_HEAD, len(keys), len(used), block), used.astype("<i8"), index.astype("<u4"), pos.astype("<i8"), shared, rest)
-    return b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
+    plain = b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
+    return struct.pack("<q", len(plain)) + pa.compress(plain, codec="zstd", asbytes=True)
 
 
 def read_run(blob: bytes) -> Iterator[tuple[int, bytes, tuple[int, int, int]]]:
     """(bytes shared with the entry before, key, (block, g, position)) of a front-coded run, in order."""
+    blob = pa.decompress(blob[8:], decompressed_size=struct.unpack_from("<q", blob)[0], codec="zstd", asbytes=True)
     n, used, block = struct.unpack_from(_HEAD, blob)
     at = struct.calcsize(_HEAD)
     table = np.frombuffer(blob, "<i8", used, at)
