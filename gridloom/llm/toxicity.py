@@ -1,24 +1,30 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models with absolute discounting and Kneser-Ney lower orders, one of toxic and one of ordinary rows, back off to
-a class's counts of stems (the first five letters), and within a stem to one shared distribution: smoothed word counts of
+a class's counts of stems (the first five letters), and within a stem to one shared distribution: the word counts of
 the whole corpus. A rare expression that either class lacks thus gets the backing of its stem, and a rare stem the same
 backing in both classes; only what differs between the classes moves the score. A document is scored by its mean log
 ratio per word and by its most telling words (means of the largest, and how many pass fixed levels, absolutely and per word), through a logistic
 link fitted on labelled rows that the models haven't seen.
 
+Words and stems are known by 64-bit hashes. Counts are tables in the shared folder: the shared ones hold every word of
+every row, those of the classes every word pair of the labelled rows that are learnt from; nothing is cut off, so each
+conditional distribution sums to one. Scoring tasks read the class tables from there, joined with the shared counts; the
+counts of a word that no labelled row holds are the same in both classes and cancel. Nothing of this reaches the driver.
+
 Labels come only from rows with crc32(doc_id as text) mod 5 <> 0: remainder 1 fits the link, 2 to 4 the models. At most
-``LABELLED`` labelled rows of a class are used, in a fixed hash order, and ``PAIRS`` word pairs kept, the most frequent
-first; the shared counts cover every row of the corpus.
+``LABELLED`` labelled rows of a class are used, in a fixed hash order, which bounds what a scoring task holds; the shared counts cover
+every row of the corpus.
 
 Defined results: a null text is empty; an empty text gets the score of no evidence; a null doc_id is never held out nor
-labelled; where the labelled rows are too few to fit models and link for both classes every score is 0.0; repeated rows get equal scores.
+labelled; of several rows of a labelled doc_id one text is learnt from; where the labelled rows are too few to fit models and link for both classes every
+score is 0.0; repeated rows get equal scores; texts of any length are scored whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,73 +36,73 @@ from pyspark.sql import functions as F
 from . import common
 
 LABELLED = 20_000
-PAIRS = 300_000
-WORD_BITS = 18
-STEM_BITS = 16
 STEM = 5
+START = 0  # the mark before a text's first word
 WORD = re.compile(r"\w+")
 TOP = (1, 2, 4, 8, 16)
 LEVELS = (2.0, 3.5, 5.0)
 EVIDENCE = 2 + len(TOP) + 2 * len(LEVELS)
+FLUSH = 400_000
+_MIX = 0x9E3779B97F4A7C15
+_SIEVE = 24  # bits of a pair's key that a first look-up uses
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
 
 
-def word_ids(text: str | None, cache: dict[str, int]) -> np.ndarray:
-    """Word id and stem id, in one number, of each word; ``cache`` holds words already seen and is emptied when large."""
-    if len(cache) > 500_000:
-        cache.clear()
-    out = []
-    for w in WORD.findall((text or "").lower()):
-        i = cache.get(w)
-        if i is None:
-            word = zlib.crc32(w.encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1)
-            stem = zlib.crc32(w[:STEM].encode("utf-8", "surrogatepass")) & ((1 << STEM_BITS) - 1)
-            i = cache[w] = word << STEM_BITS | stem
-        out.append(i)
-    return np.array(out, np.int64)
+def ids_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of words and of their stems."""
+    from xxhash import xxh64_intdigest
 
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    stems = [w[:STEM].encode("utf-8", "surrogatepass") for w in words]
+    return tuple(np.array([xxh64_intdigest(w, 42) for w in x], np.uint64).view(np.int64) for x in (raw, stems))
 
-def pairs_of(ids: np.ndarray) -> np.ndarray:
-    """Each word with the one before it; the first follows a start mark of its own."""
-    before = np.concatenate([[1 << WORD_BITS], ids[:-1] >> STEM_BITS]) if len(ids) else ids
-    return (before << (WORD_BITS + STEM_BITS)) | ids
 
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each pair of word ids."""
+    k = (before.view(np.uint64) * np.uint64(_MIX)) ^ word.view(np.uint64)
+    k ^= k >> np.uint64(32)
+    k *= np.uint64(_MIX)
+    return (k ^ (k >> np.uint64(29))).view(np.int64)
 
-def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Word counts of all rows (width 0), or word pair counts by class (width 1). Flushes when much has gathered."""
-    cache: dict[str, int] = {}
-    held: list[list[np.ndarray]] = [[], []]
-    n = 0
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, s, n): words of all rows with stem and count. Flushes when much has gathered."""
+    held: Counter[str] = Counter()
 
     def flush() -> pa.RecordBatch:
-        both = [np.unique(np.concatenate(h), return_counts=True) if h else (np.zeros(0, np.int64),) * 2 for h in held]
-        keys = np.union1d(both[0][0], both[1][0])
-        cols = []
-        for k, c in both:
-            full = np.zeros(len(keys), np.int64)
-            full[np.searchsorted(keys, k)] = c
-            cols.append(full)
-        held[0].clear()
-        held[1].clear()
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(cols[0]), pa.array(cols[1])], ["k", "c0", "c1"])
+        w, s = ids_of(list(held))
+        n = np.array(list(held.values()), np.int64)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(w), pa.array(s), pa.array(n)], ["w", "s", "n"])
 
     for b in batches:
-        texts = b.column(0).to_pylist()
-        classes = b.column(1).to_pylist() if width else [0] * len(texts)
-        for t, y in zip(texts, classes, strict=True):
-            ids = word_ids(t, cache)
-            if width:
-                ids = pairs_of(ids)
-            held[y].append(ids)
-            n += len(ids)
-            if n > 4_000_000:
-                n = 0
+        for t in b.column(0):
+            held.update(words_of(t.as_py()))
+            if len(held) > FLUSH:
                 yield flush()
-    yield flush()
+    if held:
+        yield flush()
 
 
-def _counts(df: DataFrame, width: int) -> DataFrame:
-    rows = df.mapInArrow(lambda it: _count(it, width), "k long, c0 long, c1 long")
-    return rows.groupBy("k").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, v, w, s, c0, c1): word pairs of (text, y) rows by class, counted within a batch."""
+    for b in batches:
+        held: list[list[np.ndarray]] = []
+        for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            w, s = ids_of(words_of(t.as_py()))
+            if len(w):
+                v = np.concatenate([[START], w[:-1]])
+                held.append([pair_keys(v, w), v, w, s, np.full(len(w), y, np.int64)])
+        if not held:
+            continue
+        k, v, w, s, y = (np.concatenate(c) for c in zip(*held, strict=True))
+        k, first, which = np.unique(k, return_index=True, return_inverse=True)
+        c1 = np.bincount(which, y).astype(np.int64)
+        cols = [k, v[first], w[first], s[first], np.bincount(which).astype(np.int64) - c1, c1]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["k", "v", "w", "s", "c0", "c1"])
 
 
 def labelled(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
@@ -108,83 +114,165 @@ def labelled(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
     return of(0).unionByName(of(1))
 
 
+def _sorted(df: DataFrame, key: str, path: str) -> None:
+    """A table in which the files' order and the rows' order are that of the key."""
+    common.table(df.orderBy(key), path)
+
+
 def train(docs: DataFrame, labels: DataFrame, folder: str, bound: int = LABELLED) -> dict | None:
-    """Model arrays, of a size bounded by ``PAIRS`` and the number of word ids; None unless both parts of the labelled rows have both classes."""
+    """Writes the tables that ``Model`` reads and returns its constants and the link; None unless both parts of the labelled rows have
+    both classes."""
     texts = docs.select("doc_id", "text")
     few = common.table(labelled(labels, bound).coalesce(1), f"{folder}/labelled")
-    chosen = common.table(texts.join(F.broadcast(few), "doc_id").select("text", "y", "fold"), f"{folder}/chosen")  # 2 x bound ids
+    chosen = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"), F.first("fold").alias("fold"))
+    chosen = common.table(chosen.select("text", "y", "fold"), f"{folder}/chosen")  # 2 x bound rows at most
     if len({(r.y, r.fold == 1) for r in chosen.select("y", "fold").distinct().collect()}) < 4:  # eight rows at most
         return None
-    pairs = common.table(_counts(chosen.where("fold > 1").select("text", "y"), 1), f"{folder}/pairs")
-    shared = common.table(_counts(texts.select("text"), 0), f"{folder}/shared")
-    v, w = F.shiftright("k", WORD_BITS + STEM_BITS), F.shiftright("k", STEM_BITS).bitwiseAND((1 << WORD_BITS) - 1)
-    stem = F.col("k").bitwiseAND((1 << STEM_BITS) - 1)
+    shared = texts.select("text").mapInArrow(_word_counts, "w long, s long, n long").groupBy("w").agg(F.first("s").alias("s"), F.sum("n").alias("n"))
+    shared = common.table(shared, f"{folder}/shared")
+    pairs = chosen.where("fold > 1").select("text", "y").mapInArrow(_pair_counts, "k long, v long, w long, s long, c0 long, c1 long")
+    pairs = pairs.groupBy("k").agg(*[F.first(c).alias(c) for c in "vws"], F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    pairs = common.table(pairs, f"{folder}/counted")
     one = lambda c: F.sum((F.col(c) > 0).cast("long"))
-    after = pairs.groupBy(v.alias("w")).agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), one("c0").alias("t0"), one("c1").alias("t1"))
-    into = pairs.groupBy(w.alias("w")).agg(one("c0").alias("r0"), one("c1").alias("r1"))
-    seen = shared.groupBy(w.alias("w")).agg(F.sum("c0").alias("n"))
-    words = after.join(into, "w", "full").join(seen, "w", "full").na.fill(0).toPandas()  # a row for each word id at most
-    into = pairs.groupBy(stem.alias("w")).agg(one("c0").alias("r0"), one("c1").alias("r1"))
-    seen = shared.groupBy(stem.alias("w")).agg(F.sum("c0").alias("n"))
-    stems = into.join(seen, "w", "full").na.fill(0).toPandas()  # a row for each stem id at most
-    singles = pairs.agg(*[F.sum((F.col(f"c{c}") == n).cast("long")).alias(f"m{c}{n}") for c in (0, 1) for n in (1, 2)]).first()
-    top = pairs.where("c0 + c1 > 1").orderBy((F.col("c0") + F.col("c1")).desc(), "k").limit(PAIRS).toPandas().sort_values("k")
-
-    def spread(table: pd.DataFrame, name: str, size: int) -> np.ndarray:
-        return np.bincount(table["w"].to_numpy(np.int64), weights=table[name].to_numpy(np.float64), minlength=size)
-
-    n_words, n_stems = (1 << WORD_BITS) + 1, 1 << STEM_BITS
-    n = spread(words, "n", n_words)
-    ns = spread(stems, "n", n_stems)
-    of_stem = (ns + 0.5) / (ns.sum() + 0.5 * n_stems)
-    model: dict = {"keys": top["k"].to_numpy(np.int64), "lower": [], "back": [], "stem": [], "scale": [], "count": [], "total": []}
-    model["base"] = (n + 0.5).astype(np.float32)
-    model["base_stem"] = (ns + 0.5).astype(np.float32)
+    after = pairs.groupBy(F.col("v").alias("w")).agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), one("c0").alias("t0"), one("c1").alias("t1"))
+    into = common.table(pairs.groupBy("w").agg(F.first("s").alias("s"), one("c0").alias("r0"), one("c1").alias("r1")), f"{folder}/into")
+    known = after.join(into.drop("s"), "w", "full").join(shared.select("w", "s", "n"), "w", "left")
+    stems = into.groupBy("s").agg(F.sum("r0").alias("r0"), F.sum("r1").alias("r1")).join(shared.groupBy("s").agg(F.sum("n").alias("n")), "s")
+    stems = common.table(stems, f"{folder}/stem-counts")
+    _sorted(known.na.fill(0), "w", f"{folder}/words")
+    _sorted(stems, "s", f"{folder}/stems")
+    _sorted(pairs.select("k", "c0", "c1"), "k", f"{folder}/pairs")
+    single = pairs.agg(*[F.sum((F.col(f"c{c}") == n).cast("long")).alias(f"m{c}{n}") for c in (0, 1) for n in (1, 2)], one("c0").alias("kinds0"), one("c1").alias("kinds1")).first()
+    types = into.agg(one("r0").alias("w0"), one("r1").alias("w1")).first()
+    stem_types = stems.agg(one("r0").alias("s0"), one("r1").alias("s1")).first()
+    total = shared.agg(F.sum("n").alias("n")).first().n
+    made: dict = {"folder": folder, "total": total, "link": None, "class": []}
     for c in (0, 1):
-        m1, m2 = singles[f"m{c}1"] or 1, singles[f"m{c}2"] or 1
-        d = m1 / (m1 + 2 * m2)
-        into_c, after_c, types = (spread(words, f"{x}{c}", n_words) for x in "rnt")
-        kinds = max(into_c.sum(), 1)
-        model["lower"].append((np.maximum(into_c - d, 0) / kinds).astype(np.float32))
-        model["back"].append(float(d * (into_c > 0).sum() / kinds))
-        into_s = spread(stems, f"r{c}", n_stems)
-        model["stem"].append((np.maximum(into_s - d, 0) / kinds + d * (into_s > 0).sum() / kinds * of_stem).astype(np.float32))
-        model["scale"].append((d * types).astype(np.float32))
-        model["total"].append(after_c.astype(np.float32))
-        model["count"].append(np.maximum(top[f"c{c}"].to_numpy(np.float32) - np.float32(d), 0))
-    model["link"] = None
-    few_rows = chosen.where("fold = 1").mapInPandas(_rows_of(model), "y double, x array<double>").toPandas()  # 2 x bound rows at most
-    x, y = np.array(few_rows["x"].tolist()), few_rows["y"].to_numpy()
-    model["link"] = _link(x, y)
-    return model
-
-
-def evidence(ids: np.ndarray, model: dict) -> np.ndarray:
-    """Mean log ratio per word, means of the largest log ratios, how many words pass each level, how densely, and length."""
-    if not len(ids):
-        return np.zeros(EVIDENCE)
-    key = pairs_of(ids)
-    before, word, stem = key >> (WORD_BITS + STEM_BITS), ids >> STEM_BITS, ids & ((1 << STEM_BITS) - 1)
-    at = np.minimum(np.searchsorted(model["keys"], key), max(len(model["keys"]) - 1, 0))
-    known = model["keys"][at] == key if len(model["keys"]) else np.zeros(len(key), bool)
-    within = model["base"][word] / model["base_stem"][stem]
-    logs = []
-    for c in (0, 1):
-        low = model["lower"][c][word] + model["back"][c] * model["stem"][c][stem] * within
-        total = model["total"][c][before]
-        hit = np.where(known, model["count"][c][at], 0) if len(model["keys"]) else 0
-        logs.append(np.log(np.where(total > 0, (hit + model["scale"][c][before] * low) / np.maximum(total, 1), low) + 1e-30))
-    ratio = logs[1] - logs[0]
-    best = np.sort(ratio)[::-1]
-    over = np.array([np.count_nonzero(best > t) for t in LEVELS])
-    return np.array([ratio.mean(), *[best[:k].mean() for k in TOP], *np.log1p(over), *np.sqrt(over / len(ids)), np.log1p(len(ids))])
+        m1, m2 = single[f"m{c}1"] or 1, single[f"m{c}2"] or 1
+        made["class"].append({"d": m1 / (m1 + 2 * m2), "kinds": max(single[f"kinds{c}"], 1), "words": types[f"w{c}"], "stems": stem_types[f"s{c}"]})
+    few_rows = chosen.where("fold = 1").mapInPandas(_rows_of(made), "y double, x array<double>").toPandas()  # 2 x bound rows at most
+    made["link"] = _link(np.array(few_rows["x"].tolist()), few_rows["y"].to_numpy())
+    return made
+
+
+def _columns(folder: str, name: str, columns: list[str]) -> list[np.ndarray]:
+    """Columns of a table in the shared folder, in the order of its files."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(f"{folder}/{name}")
+    files = [f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")]
+    parts = [pq.read_table(f, columns=columns, filesystem=store) for f in sorted(files)]
+    return [np.concatenate([p.column(c).to_numpy() for p in parts]) for c in columns]
+
+
+class Model:
+    """Both classes' models as arrays; row 0 stands for whatever no labelled row holds."""
+
+    def __init__(self, made: dict) -> None:
+        w, s, n, *counts = _columns(made["folder"], "words", ["w", "s", "n", "n0", "n1", "t0", "t1", "r0", "r1"])
+        n0, n1, t0, t1, r0, r1 = counts
+        self.stem_ids, ns, *into_stem = _columns(made["folder"], "stems", ["s", "n", "r0", "r1"])
+        self.keys, *pair = _columns(made["folder"], "pairs", ["k", "c0", "c1"])
+        self.word_ids, self.start = w, int(np.searchsorted(w, START)) + 1
+        stem = np.minimum(np.searchsorted(self.stem_ids, s), len(self.stem_ids) - 1)
+        own = self.stem_ids[stem] == s  # not of the start mark, which has no stem
+        within = np.where(own, n / ns[stem], 0.0)
+        self.low, self.unseen, self.total, self.scale, self.count = [], [], [], [], []
+        for c, (k, into, after, kinds_after) in enumerate(((made["class"][0], r0, n0, t0), (made["class"][1], r1, n1, t1))):
+            d, kinds = k["d"], k["kinds"]
+            back, stem_back = d * k["words"] / kinds, d * k["stems"] / kinds
+            of_stem = np.maximum(into_stem[c] - d, 0) / kinds + stem_back * ns / made["total"]
+            self.low.append(np.concatenate([[0.0], np.maximum(into - d, 0) / kinds + back * of_stem[stem] * within]))
+            self.unseen.append(np.concatenate([[back * stem_back], back * of_stem]))  # by stem; what both classes share left out
+            self.total.append(np.concatenate([[0.0], after]))
+            self.scale.append(np.concatenate([[0.0], d * kinds_after]))
+            self.count.append(np.maximum(pair[c].astype(np.float32) - np.float32(d), 0))
+        self.sieve = np.zeros(1 << _SIEVE, bool)
+        self.sieve[self._slot(self.keys)] = True
+        self.cache: dict[str, int] = {}
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) >> np.uint64(64 - _SIEVE)).astype(np.int64)
+
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(row of the word, row of its stem) for each word, 0 where unknown. The cache is emptied when large."""
+        cache = self.cache
+        if len(cache) > 500_000:
+            cache.clear()
+        new = list(set(words).difference(cache))
+        if new:
+            both = []
+            for ids, known in zip(ids_of(new), (self.word_ids, self.stem_ids), strict=True):
+                at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+                both.append(np.where(known[at] == ids, at + 1, 0))
+            cache.update(zip(new, (both[0] << 32 | both[1]).tolist(), strict=True))
+        code = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
+        return code >> 32, code & 0xFFFFFFFF
+
+    def log_ratios(self, word: np.ndarray, stem: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Log ratio of toxic to ordinary of each word after the one before; ``first`` marks the first words of texts."""
+        before = np.concatenate([[self.start], word[:-1]]) if len(word) else word
+        before = np.where(first, self.start, before)
+        both = np.flatnonzero((word > 0) & (before > 0))
+        v = np.where(before[both] == self.start, START, self.word_ids[before[both] - 1])
+        k = pair_keys(v, self.word_ids[word[both] - 1])
+        may = np.flatnonzero(self.sieve[self._slot(k)])
+        k, both = k[may], both[may]
+        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
+        hit = self.keys[at] == k
+        at, both = at[hit], both[hit]
+        logs = []
+        for c in (0, 1):
+            low = np.where(word > 0, self.low[c][word], self.unseen[c][stem])
+            total = self.total[c][before]
+            got = np.zeros(len(word))
+            got[both] = self.count[c][at]
+            logs.append(np.log(np.where(total > 0, (got + self.scale[c][before] * low) / np.maximum(total, 1), low) + 1e-300))
+        return logs[1] - logs[0]
+
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text: mean log ratio per word, means of the largest log ratios, how many words pass each level, how densely,
+        and length."""
+        out = np.zeros((len(texts), EVIDENCE))
+        held: list[list[str]] = []
+        done = 0
+
+        def flush() -> None:
+            nonlocal done
+            sizes = np.array([len(x) for x in held])
+            words = [w for x in held for w in x]
+            ends = np.cumsum(sizes)
+            first = np.zeros(len(words), bool)
+            first[(ends - sizes)[sizes > 0]] = True
+            ratio = self.log_ratios(*self.rows(words), first)
+            for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+                if a < b:
+                    best = np.sort(ratio[a:b])[::-1]
+                    over = np.array([b - a - np.searchsorted(best[::-1], t, "right") for t in LEVELS])
+                    top = best[: TOP[-1]].cumsum()
+                    out[done + i] = [best.mean(), *[top[min(k, b - a) - 1] / min(k, b - a) for k in TOP], *np.log1p(over), *np.sqrt(over / (b - a)), np.log1p(b - a)]
+            done += len(held)
+            held.clear()
+
+        n = 0
+        for t in texts:
+            held.append(words_of(t))
+            n += len(held[-1])
+            if n > 200_000:
+                flush()
+                n = 0
+        flush()
+        return out
 
 
-def _rows_of(model: dict):
+def _rows_of(made: dict):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
+        model = None
         for b in batches:
-            yield pd.DataFrame({"y": b["y"].astype("float64"), "x": [evidence(word_ids(t, cache), model).tolist() for t in b["text"]]})
+            model = model or Model(made)
+            yield pd.DataFrame({"y": b["y"].astype("float64"), "x": list(model.evidence(list(b["text"])))})
 
     return rows
 
@@ -206,19 +294,18 @@ def _link(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarra
 
 def score(docs: DataFrame, labels: DataFrame, folder: str, bound: int = LABELLED) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row."""
-    model = train(docs, labels, folder, bound)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by PAIRS and the word ids
+    made = train(docs, labels, folder, bound)  # constants and the link's weights: a few dozen numbers
 
     @F.pandas_udf("double")
     def rate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, cache = sent.value, {}
+        model = None
         for s in texts:
-            if m is None:
+            if made is None:
                 yield pd.Series(np.zeros(len(s)))
                 continue
-            x = np.array([evidence(word_ids(t, cache), m) for t in s]).reshape(-1, EVIDENCE)
-            mean, dev, w = m["link"]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + ((x - mean) / dev) @ w[1:], -30, 30))))
+            model = model or Model(made)
+            mean, dev, w = made["link"]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + ((model.evidence(list(s)) - mean) / dev) @ w[1:], -30, 30))))
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     out = docs.select("doc_id", held.alias("held_out"), rate(F.col("text")).alias("score"))

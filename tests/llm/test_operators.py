@@ -448,6 +448,60 @@ def test_toxicity(spark, awkward, clashing, empty, folder):
     assert all(r.score == 0 for r in toxicity.score(awkward, labels.limit(0), folder + "/n").collect())
 
 
+def slow_models(texts, rows):
+    """Kneser-Ney by dictionaries: p(c, v, w) of the two classes with all their backing."""
+    split = lambda t: re.findall(r"\w+", (t or "").lower())
+    n = Counter(w for t in texts for w in split(t))
+    ns = Counter()
+    for w, k in n.items():
+        ns[w[:5]] += k
+    total = sum(n.values())
+    classes = []
+    for c in (0, 1):
+        pairs = Counter()
+        for t, y in rows:
+            if y == c:
+                w = split(t)
+                pairs.update(zip([None, *w], w, strict=False))
+        m1, m2 = (sum(x == k for x in pairs.values()) or 1 for k in (1, 2))
+        into, after, kinds = Counter(w for _, w in pairs), Counter(), Counter(v for v, _ in pairs)
+        for (v, _), k in pairs.items():
+            after[v] += k
+        stems = Counter()
+        for w, k in into.items():
+            stems[w[:5]] += k
+        classes.append((m1 / (m1 + 2 * m2), pairs, into, after, kinds, stems))
+
+    def p(c, v, w):
+        d, pairs, into, after, kinds, stems = classes[c]
+        every = len(pairs)
+        stem = max(stems[w[:5]] - d, 0) / every + d * len(stems) / every * ns[w[:5]] / total
+        low = max(into[w] - d, 0) / every + d * len(into) / every * stem * n[w] / ns[w[:5]]
+        return (max(pairs[v, w] - d, 0) + d * kinds[v] * low) / after[v] if after[v] else low
+
+    return n, p
+
+
+def test_models_are_kneser_ney(spark, folder):
+    rng = random.Random(17)
+    docs = [(i, words(rng, rng.randint(5, 40)) + (" badword badly worse" if i % 4 == 0 else "")) for i in range(240)] + [(999, None)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    made = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels, folder)
+    learnt = [(t, int(i % 4 == 0)) for i, t in docs if i < 200 and zlib.crc32(str(i).encode()) % 5 > 1]
+    n, p = slow_models([t for _, t in docs], learnt)
+    for c in (0, 1):
+        for v in (None, "badword", *list(n)[:4], "never"):
+            assert abs(sum(p(c, v, w) for w in n) - 1) < 1e-9
+    model = toxicity.Model(made)
+    for _, t in docs:
+        w = re.findall(r"\w+", (t or "").lower())
+        want = [np.log(p(1, v, x)) - np.log(p(0, v, x)) for v, x in zip([None, *w], w, strict=False)]
+        got = model.log_ratios(*model.rows(w), np.arange(len(w)) == 0)
+        assert np.allclose(got, want, atol=1e-5)
+    both = [t for _, t in docs]
+    assert np.allclose(model.evidence(both), np.vstack([model.evidence([t]) for t in both]))
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------------
 def repeats(docs):
     """(doc_id, n_bytes, n_removed, n_spans, kept) by brute force."""
