@@ -42,7 +42,7 @@ WORD = re.compile(r"\w+")
 TOP = (1, 2, 4, 8, 16)
 LEVELS = (2.0, 3.5, 5.0)
 EVIDENCE = 2 + len(TOP) + 2 * len(LEVELS)
-FLUSH = 400_000
+FLUSH = 200_000
 _MIX = 0x9E3779B97F4A7C15
 _SIEVE = 24  # bits of a pair's key that a first look-up uses
 
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, folder: str, bound: int = LABELLED
     stems = common.table(stems, f"{folder}/stem-counts")
     _sorted(known.na.fill(0), "w", f"{folder}/words")
     _sorted(stems, "s", f"{folder}/stems")
-    _sorted(pairs.select("k", "c0", "c1"), "k", f"{folder}/pairs")
+    _sorted(pairs.select("k", F.col("c0").cast("int").alias("c0"), F.col("c1").cast("int").alias("c1")), "k", f"{folder}/pairs")
     single = pairs.agg(*[F.sum((F.col(f"c{c}") == n).cast("long")).alias(f"m{c}{n}") for c in (0, 1) for n in (1, 2)], one("c0").alias("kinds0"), one("c1").alias("kinds1")).first()
     types = into.agg(one("r0").alias("w0"), one("r1").alias("w1")).first()
     stem_types = stems.agg(one("r0").alias("s0"), one("r1").alias("s1")).first()
@@ -155,41 +155,52 @@ def train(docs: DataFrame, labels: DataFrame, folder: str, bound: int = LABELLED
     return made
 
 
-def _columns(folder: str, name: str, columns: list[str]) -> list[np.ndarray]:
-    """Columns of a table in the shared folder, in the order of its files."""
+def _columns(folder: str, name: str, columns: dict[str, str]) -> list[np.ndarray]:
+    """Columns of a table in the shared folder as arrays of the given types, in the order of its files; read piece by piece."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(f"{folder}/{name}")
-    files = [f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet")]
-    parts = [pq.read_table(f, columns=columns, filesystem=store) for f in sorted(files)]
-    return [np.concatenate([p.column(c).to_numpy() for p in parts]) for c in columns]
+    paths = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
+    files = [pq.ParquetFile(store.open_input_file(p)) for p in paths]
+    out, at = [np.empty(sum(f.metadata.num_rows for f in files), t) for t in columns.values()], 0
+    for f in files:
+        for b in f.iter_batches(batch_size=1 << 16, columns=list(columns), use_threads=False):
+            for c, whole in zip(columns, out, strict=True):
+                whole[at : at + b.num_rows] = b.column(c).to_numpy(zero_copy_only=False)
+            at += b.num_rows
+        f.close()
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 class Model:
     """Both classes' models as arrays; row 0 stands for whatever no labelled row holds."""
 
     def __init__(self, made: dict) -> None:
-        w, s, n, *counts = _columns(made["folder"], "words", ["w", "s", "n", "n0", "n1", "t0", "t1", "r0", "r1"])
-        n0, n1, t0, t1, r0, r1 = counts
-        self.stem_ids, ns, *into_stem = _columns(made["folder"], "stems", ["s", "n", "r0", "r1"])
-        self.keys, *pair = _columns(made["folder"], "pairs", ["k", "c0", "c1"])
-        self.word_ids, self.start = w, int(np.searchsorted(w, START)) + 1
+        self.word_ids, s, n = _columns(made["folder"], "words", {"w": "i8", "s": "i8", "n": "f8"})
+        self.stem_ids, ns = _columns(made["folder"], "stems", {"s": "i8", "n": "f8"})
+        self.start = int(np.searchsorted(self.word_ids, START)) + 1
         stem = np.minimum(np.searchsorted(self.stem_ids, s), len(self.stem_ids) - 1)
-        own = self.stem_ids[stem] == s  # not of the start mark, which has no stem
-        within = np.where(own, n / ns[stem], 0.0)
+        within = np.where(self.stem_ids[stem] == s, n / ns[stem], 0.0)  # the start mark has no stem
+        row0 = lambda x: np.concatenate([[0], x]).astype(np.float32)
         self.low, self.unseen, self.total, self.scale, self.count = [], [], [], [], []
-        for c, (k, into, after, kinds_after) in enumerate(((made["class"][0], r0, n0, t0), (made["class"][1], r1, n1, t1))):
+        for c, k in enumerate(made["class"]):
+            into, after, after_kinds = _columns(made["folder"], "words", {f"{x}{c}": "f8" for x in "rnt"})
+            (into_stem,) = _columns(made["folder"], "stems", {f"r{c}": "f8"})
             d, kinds = k["d"], k["kinds"]
             back, stem_back = d * k["words"] / kinds, d * k["stems"] / kinds
-            of_stem = np.maximum(into_stem[c] - d, 0) / kinds + stem_back * ns / made["total"]
-            self.low.append(np.concatenate([[0.0], np.maximum(into - d, 0) / kinds + back * of_stem[stem] * within]))
+            of_stem = np.maximum(into_stem - d, 0) / kinds + stem_back * ns / made["total"]
+            self.low.append(row0(np.maximum(into - d, 0) / kinds + back * of_stem[stem] * within))
             self.unseen.append(np.concatenate([[back * stem_back], back * of_stem]))  # by stem; what both classes share left out
-            self.total.append(np.concatenate([[0.0], after]))
-            self.scale.append(np.concatenate([[0.0], d * kinds_after]))
-            self.count.append(np.maximum(pair[c].astype(np.float32) - np.float32(d), 0))
+            self.total.append(row0(after))
+            self.scale.append(row0(d * after_kinds))
+            (count,) = _columns(made["folder"], "pairs", {f"c{c}": "f4"})
+            self.count.append(np.maximum(count - np.float32(d), 0, out=count))
+        (self.keys,) = _columns(made["folder"], "pairs", {"k": "i8"})
         self.sieve = np.zeros(1 << _SIEVE, bool)
-        self.sieve[self._slot(self.keys)] = True
+        for at in range(0, len(self.keys), 1 << 20):
+            self.sieve[self._slot(self.keys[at : at + (1 << 20)])] = True
         self.cache: dict[str, int] = {}
 
     @staticmethod
@@ -199,7 +210,7 @@ class Model:
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(row of the word, row of its stem) for each word, 0 where unknown. The cache is emptied when large."""
         cache = self.cache
-        if len(cache) > 500_000:
+        if len(cache) > 250_000:
             cache.clear()
         new = list(set(words).difference(cache))
         if new:
@@ -260,7 +271,7 @@ class Model:
         for t in texts:
             held.append(words_of(t))
             n += len(held[-1])
-            if n > 200_000:
+            if n > 100_000:
                 flush()
                 n = 0
         flush()
