@@ -28,7 +28,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -136,34 +135,46 @@ def train(docs: DataFrame, labels: DataFrame, folder: str, bound: int = LABELLED
     one = lambda c: F.sum((F.col(c) > 0).cast("long"))
     after = pairs.groupBy(F.col("v").alias("w")).agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), one("c0").alias("t0"), one("c1").alias("t1"))
     into = common.table(pairs.groupBy("w").agg(F.first("s").alias("s"), one("c0").alias("r0"), one("c1").alias("r1")), f"{folder}/into")
-    known = after.join(into.drop("s"), "w", "full").join(shared.select("w", "s", "n"), "w", "left")
-    stems = into.groupBy("s").agg(F.sum("r0").alias("r0"), F.sum("r1").alias("r1")).join(shared.groupBy("s").agg(F.sum("n").alias("n")), "s")
+    stems = into.groupBy("s").agg(F.sum("r0").alias("r0"), F.sum("r1").alias("r1")).join(shared.groupBy("s").agg(F.sum("n").alias("ns")), "s")
     stems = common.table(stems, f"{folder}/stem-counts")
-    _sorted(known.na.fill(0), "w", f"{folder}/words")
-    _sorted(stems, "s", f"{folder}/stems")
-    _sorted(pairs.select("k", F.col("c0").cast("int").alias("c0"), F.col("c1").cast("int").alias("c1")), "k", f"{folder}/pairs")
     single = pairs.agg(*[F.sum((F.col(f"c{c}") == n).cast("long")).alias(f"m{c}{n}") for c in (0, 1) for n in (1, 2)], one("c0").alias("kinds0"), one("c1").alias("kinds1")).first()
     types = into.agg(one("r0").alias("w0"), one("r1").alias("w1")).first()
     stem_types = stems.agg(one("r0").alias("s0"), one("r1").alias("s1")).first()
     total = shared.agg(F.sum("n").alias("n")).first().n
-    made: dict = {"folder": folder, "total": total, "link": None, "class": []}
+    discount, kinds, back, stem_back = [], [], [], []
     for c in (0, 1):
         m1, m2 = single[f"m{c}1"] or 1, single[f"m{c}2"] or 1
-        made["class"].append({"d": m1 / (m1 + 2 * m2), "kinds": max(single[f"kinds{c}"], 1), "words": types[f"w{c}"], "stems": stem_types[f"s{c}"]})
-    few_rows = chosen.where("fold = 1").mapInPandas(_rows_of(made), "y double, x array<double>").toPandas()  # 2 x bound rows at most
+        discount.append(m1 / (m1 + 2 * m2))
+        kinds.append(max(single[f"kinds{c}"], 1))
+        back.append(discount[c] * types[f"w{c}"] / kinds[c])
+        stem_back.append(discount[c] * stem_types[f"s{c}"] / kinds[c])
+    less = lambda x, c: F.greatest(F.col(f"{x}{c}") - discount[c], F.lit(0.0))
+    of_stem = [less("r", c) / kinds[c] + stem_back[c] * F.col("ns") / total for c in (0, 1)]
+    of_stem = stems.select("s", "ns", *[x.alias(f"p{c}") for c, x in enumerate(of_stem)])
+    known = after.join(into, "w", "full").join(shared.select("w", "n"), "w", "left").join(of_stem, "s", "left").na.fill(0)
+    within = F.when(F.col("ns") > 0, F.col("n") / F.col("ns")).otherwise(0.0)  # the start mark has no stem
+    low = [less("r", c) / kinds[c] + back[c] * F.col(f"p{c}") * within for c in (0, 1)]
+    small = lambda x, name: x.cast("float").alias(name)
+    words = known.select("w", *[small(x, f"{k}{c}") for c in (0, 1) for k, x in (("low", low[c]), ("total", F.col(f"n{c}")), ("scale", discount[c] * F.col(f"t{c}")))])
+    _sorted(words, "w", f"{folder}/words")
+    _sorted(of_stem.select("s", *[(back[c] * F.col(f"p{c}")).alias(f"unseen{c}") for c in (0, 1)]), "s", f"{folder}/stems")
+    _sorted(pairs.select("k", *[small(less("c", c), f"count{c}") for c in (0, 1)]), "k", f"{folder}/pairs")
+    made: dict = {"folder": folder, "unseen": [back[c] * stem_back[c] for c in (0, 1)], "link": None}
+    few_rows = chosen.where("fold = 1").select("text", "y").mapInArrow(_rows_of(made), "y double, x array<double>").toPandas()  # 2 x bound rows at most
     made["link"] = _link(np.array(few_rows["x"].tolist()), few_rows["y"].to_numpy())
     return made
 
 
-def _columns(folder: str, name: str, columns: dict[str, str]) -> list[np.ndarray]:
-    """Columns of a table in the shared folder as arrays of the given types, in the order of its files; read piece by piece."""
+def _columns(folder: str, name: str, columns: dict[str, str], before: int = 0) -> list[np.ndarray]:
+    """Columns of a table in the shared folder as arrays of the given types, in the order of its files, behind some zeros.
+    Read piece by piece."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(f"{folder}/{name}")
     paths = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
     files = [pq.ParquetFile(store.open_input_file(p)) for p in paths]
-    out, at = [np.empty(sum(f.metadata.num_rows for f in files), t) for t in columns.values()], 0
+    out, at = [np.zeros(before + sum(f.metadata.num_rows for f in files), t) for t in columns.values()], before
     for f in files:
         for b in f.iter_batches(batch_size=1 << 16, columns=list(columns), use_threads=False):
             for c, whole in zip(columns, out, strict=True):
@@ -174,30 +185,27 @@ def _columns(folder: str, name: str, columns: dict[str, str]) -> list[np.ndarray
     return out
 
 
+def _rows_in(known: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where each id stands in a sorted array, or -1. Ids are looked up in order, which is kinder to the caches."""
+    order = np.argsort(ids)
+    at = np.empty(len(ids), np.int64)
+    at[order] = np.minimum(np.searchsorted(known, ids[order]), len(known) - 1)
+    return np.where(known[at] == ids, at, -1)
+
+
 class Model:
     """Both classes' models as arrays; row 0 stands for whatever no labelled row holds."""
 
     def __init__(self, made: dict) -> None:
-        self.word_ids, s, n = _columns(made["folder"], "words", {"w": "i8", "s": "i8", "n": "f8"})
-        self.stem_ids, ns = _columns(made["folder"], "stems", {"s": "i8", "n": "f8"})
+        both = lambda k: {f"{k}{c}": "f4" for c in (0, 1)}
+        self.word_ids, *low = _columns(made["folder"], "words", {"w": "i8", **both("low"), **both("total"), **both("scale")}, 1)
+        self.low, self.total, self.scale = low[:2], low[2:4], low[4:]
+        self.stem_ids, *self.unseen = _columns(made["folder"], "stems", {"s": "i8", "unseen0": "f8", "unseen1": "f8"}, 1)
+        for c, x in enumerate(made["unseen"]):
+            self.unseen[c][0] = x
+        self.word_ids, self.stem_ids = self.word_ids[1:], self.stem_ids[1:]
         self.start = int(np.searchsorted(self.word_ids, START)) + 1
-        stem = np.minimum(np.searchsorted(self.stem_ids, s), len(self.stem_ids) - 1)
-        within = np.where(self.stem_ids[stem] == s, n / ns[stem], 0.0)  # the start mark has no stem
-        row0 = lambda x: np.concatenate([[0], x]).astype(np.float32)
-        self.low, self.unseen, self.total, self.scale, self.count = [], [], [], [], []
-        for c, k in enumerate(made["class"]):
-            into, after, after_kinds = _columns(made["folder"], "words", {f"{x}{c}": "f8" for x in "rnt"})
-            (into_stem,) = _columns(made["folder"], "stems", {f"r{c}": "f8"})
-            d, kinds = k["d"], k["kinds"]
-            back, stem_back = d * k["words"] / kinds, d * k["stems"] / kinds
-            of_stem = np.maximum(into_stem - d, 0) / kinds + stem_back * ns / made["total"]
-            self.low.append(row0(np.maximum(into - d, 0) / kinds + back * of_stem[stem] * within))
-            self.unseen.append(np.concatenate([[back * stem_back], back * of_stem]))  # by stem; what both classes share left out
-            self.total.append(row0(after))
-            self.scale.append(row0(d * after_kinds))
-            (count,) = _columns(made["folder"], "pairs", {f"c{c}": "f4"})
-            self.count.append(np.maximum(count - np.float32(d), 0, out=count))
-        (self.keys,) = _columns(made["folder"], "pairs", {"k": "i8"})
+        self.keys, *self.count = _columns(made["folder"], "pairs", {"k": "i8", **both("count")})
         self.sieve = np.zeros(1 << _SIEVE, bool)
         for at in range(0, len(self.keys), 1 << 20):
             self.sieve[self._slot(self.keys[at : at + (1 << 20)])] = True
@@ -214,10 +222,7 @@ class Model:
             cache.clear()
         new = list(set(words).difference(cache))
         if new:
-            both = []
-            for ids, known in zip(ids_of(new), (self.word_ids, self.stem_ids), strict=True):
-                at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
-                both.append(np.where(known[at] == ids, at + 1, 0))
+            both = [_rows_in(known, ids) + 1 for ids, known in zip(ids_of(new), (self.word_ids, self.stem_ids), strict=True)]
             cache.update(zip(new, (both[0] << 32 | both[1]).tolist(), strict=True))
         code = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
         return code >> 32, code & 0xFFFFFFFF
@@ -230,10 +235,8 @@ class Model:
         v = np.where(before[both] == self.start, START, self.word_ids[before[both] - 1])
         k = pair_keys(v, self.word_ids[word[both] - 1])
         may = np.flatnonzero(self.sieve[self._slot(k)])
-        k, both = k[may], both[may]
-        at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-        hit = self.keys[at] == k
-        at, both = at[hit], both[hit]
+        at, both = _rows_in(self.keys, k[may]), both[may]
+        at, both = at[at >= 0], both[at >= 0]
         logs = []
         for c in (0, 1):
             low = np.where(word > 0, self.low[c][word], self.unseen[c][stem])
@@ -243,7 +246,7 @@ class Model:
             logs.append(np.log(np.where(total > 0, (got + self.scale[c][before] * low) / np.maximum(total, 1), low) + 1e-300))
         return logs[1] - logs[0]
 
-    def evidence(self, texts: list[str | None]) -> np.ndarray:
+    def evidence(self, texts: pa.Array) -> np.ndarray:
         """A row for each text: mean log ratio per word, means of the largest log ratios, how many words pass each level, how densely,
         and length."""
         out = np.zeros((len(texts), EVIDENCE))
@@ -269,7 +272,7 @@ class Model:
 
         n = 0
         for t in texts:
-            held.append(words_of(t))
+            held.append(words_of(t.as_py()))
             n += len(held[-1])
             if n > 100_000:
                 flush()
@@ -279,11 +282,13 @@ class Model:
 
 
 def _rows_of(made: dict):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for b in batches:
             model = model or Model(made)
-            yield pd.DataFrame({"y": b["y"].astype("float64"), "x": list(model.evidence(list(b["text"])))})
+            x = model.evidence(b.column(0))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, EVIDENCE), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.float64()), flat], ["y", "x"])
 
     return rows
 
@@ -307,17 +312,17 @@ def score(docs: DataFrame, labels: DataFrame, folder: str, bound: int = LABELLED
     """(doc_id, held_out, score, predicted) for every row."""
     made = train(docs, labels, folder, bound)  # constants and the link's weights: a few dozen numbers
 
-    @F.pandas_udf("double")
-    def rate(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for s in texts:
-            if made is None:
-                yield pd.Series(np.zeros(len(s)))
-                continue
-            model = model or Model(made)
-            mean, dev, w = made["link"]
-            yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + ((model.evidence(list(s)) - mean) / dev) @ w[1:], -30, 30))))
+        for b in batches:
+            found = np.zeros(b.num_rows)
+            if made is not None and b.num_rows:
+                model = model or Model(made)
+                mean, dev, w = made["link"]
+                found = 1 / (1 + np.exp(-np.clip(w[0] + ((model.evidence(b.column(1)) - mean) / dev) @ w[1:], -30, 30)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], ["doc_id", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    out = docs.select("doc_id", held.alias("held_out"), rate(F.col("text")).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.select("doc_id", "text").mapInArrow(rate, f"doc_id {kind}, score double")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

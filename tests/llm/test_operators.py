@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_texts import words
 from pyspark.sql import functions as F
@@ -498,8 +499,8 @@ def test_models_are_kneser_ney(spark, folder):
         want = [np.log(p(1, v, x)) - np.log(p(0, v, x)) for v, x in zip([None, *w], w, strict=False)]
         got = model.log_ratios(*model.rows(w), np.arange(len(w)) == 0)
         assert np.allclose(got, want, atol=1e-5)
-    both = [t for _, t in docs]
-    assert np.allclose(model.evidence(both), np.vstack([model.evidence([t]) for t in both]))
+    both = pa.array([t for _, t in docs])
+    assert np.allclose(model.evidence(both), np.vstack([model.evidence(both[i : i + 1]) for i in range(len(both))]))
 
 
 # --- 10 --------------------------------------------------------------------------------------------------------------
