@@ -10,7 +10,8 @@ The item side is broadcast only if its measured size is below ``BROADCAST_GRAMS`
 that the grams are joined by a shuffle and the words are fetched again for the hits alone.
 
 Defined results: a null or empty text has no words and no hits; every input row gives one output row, also repeated ones;
-an item without an id can mark words but isn't counted or listed; empty tables give empty or clean results.
+an item without an id can mark words but isn't counted or listed; kept columns may have any name, as they travel in a struct;
+a text of any length is one row; empty tables give empty or clean results.
 """
 
 from __future__ import annotations
@@ -121,9 +122,9 @@ def contamination(
 def _judged(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM, min_items: int = 2, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """As ``contamination`` with the kept columns in one struct, so that their names can't clash."""
     items = benchmark.select(F.col(item_id).alias("item_id"), words(common.text_of(item_text)).alias("w"))
-    w = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias("rid"), words(common.text_of(text)).alias("w")
-    )
+    # a row's key comes from what it holds, never from where it lies, so that another evaluation gives the same; equal rows share one
+    w = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), common.text_of(text).alias("t"))
+    w = w.select("row", F.struct(F.xxhash64(F.lit(1), "row", "t").alias("a"), F.xxhash64(F.lit(2), "t", "row").alias("b")).alias("rid"), words(F.col("t")).alias("w"))
     grams = _grams(items, span, gram)
     found = _winnow(w, "w", span, gram)
     # position -1 stands for the document itself; its key is spread like a hash, so that nothing piles up
@@ -140,8 +141,8 @@ def _judged(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text:
         )
     else:
         base = each.where("p < 0").select("rid", row, n_words, F.lit(None).cast("struct<s:int,e:int>").alias("run"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"))
-        cand = each.where("p >= 0").select("rid", "p", key.alias("fp")).join(grams, "fp").drop("fp")
-        near = cand.join(w.select("rid", "w"), "rid").select("rid", F.lit(None).cast(each.schema["row"].dataType).alias("row"), F.lit(None).cast("int").alias("n_words"), run, "item_id")
+        cand = each.where("p >= 0").select("rid", "p", key.alias("fp")).join(grams, "fp").drop("fp").distinct()
+        near = cand.join(w.groupBy("rid").agg(F.first("w").alias("w")), "rid").select("rid", F.lit(None).cast(each.schema["row"].dataType).alias("row"), F.lit(None).cast("int").alias("n_words"), run, "item_id")
         hits = base.unionByName(near)
     hits = hits.where(F.col("row").isNotNull() | F.col("run").isNotNull())
     if (short := _short_hits(w, items, span)) is not None:
@@ -149,6 +150,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text:
         hits = hits.unionByName(short.select("rid", empty("row"), empty("n_words"), "run", "item_id"))
     per = hits.groupBy("rid").agg(
         F.first("row", ignorenulls=True).alias("row"),
+        F.count("n_words").alias("copies"),  # one for each row of this content
         F.first("n_words", ignorenulls=True).cast("long").alias("n_words"),
         F.array_sort(F.collect_set("run")).alias("runs"),
         F.collect_set(F.when(F.col("run").isNotNull(), F.col("item_id"))).alias("items"),
@@ -160,6 +162,8 @@ def _judged(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], text:
 
     n_hit = F.aggregate("runs", F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")), cover, lambda a: a["n"])
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    thousand = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(1000).cast("long"))).alias("at")
+    per = per.select("*", thousand).select("*", F.explode(F.array_repeat(F.lit(0), F.least(F.col("copies") - F.col("at") + 1, F.lit(1000)).cast("int"))))
     return per.select(
         "row",
         "n_words",
