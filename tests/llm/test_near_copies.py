@@ -23,7 +23,7 @@ def kept(rows):
             if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
-    return sorted({min(r[0] for r, h in zip(rows, group, strict=True) if h == g) for g in group})
+    return sorted(min(r[0] for r, h in zip(rows, group, strict=True) if h == g) for g in set(group))
 
 
 def changed(rng, text, n):
@@ -64,3 +64,15 @@ def test_awkward_near_copies(spark, folder, awkward, clashing, empty):
         assert out.columns == df.columns and out.where("doc_id is null").count() == 2
         assert sorted(r.doc_id for r in out.where(F.col("doc_id").isNotNull()).collect()) == kept([(r.doc_id, r.text) for r in df.where("doc_id is not null").collect()])
     assert simhash.keep_one(empty, f"{folder}/e").count() == 0
+
+
+def test_one_id_may_have_several_texts(spark, folder):
+    rng = random.Random(8)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(1, a, "x"), (9, a, "x"), (9, b, "x"), (9, b, "x"), (9, b, "y"), (12, b, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    for i, df in enumerate((docs, docs.repartition(5))):
+        out = [tuple(r) for r in simhash.keep_one(df, f"{folder}/{i}").collect()]
+        assert len(out) == 2 and (1, a, "x") in out and {r[:2] for r in out} == {(1, a), (9, b)}
+        assert i == 0 or sorted(out) == before  # the same of several rows each time
+        before = sorted(out)
