@@ -90,11 +90,21 @@ def proposals(text: Column) -> dict[str, Column]:
     }
 
 
-def _features(x: Column, text: Column, kind: int) -> Column:
-    """Format and context features of one hit as a struct of ints."""
+CONTEXT = 24
+
+
+def _features(hits: Column, text: Column, kind: int) -> Column:
+    """Format and context features of each hit as structs of ints."""
+
+    def of(x: Column, before: Column, after: Column) -> Column:
+        now = F.struct(F.lower(before).alias("near"), _digits(x["m"]).alias("d"), F.substring(before, -1, 1).alias("b"), after.alias("a"))
+        return spans.let(now, lambda c: _values(x, c["near"], c["d"], c["b"], c["a"], kind))
+
+    return spans.in_context(hits, text, CONTEXT, of)
+
+
+def _values(x: Column, near: Column, d: Column, before: Column, after: Column, kind: int) -> Column:
     m = x["m"]
-    d = _digits(m)
-    before = F.lower(F.substring(text, F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24))))
     is_letter = lambda c: F.when(c.rlike(r"^\p{L}$"), 1).otherwise(0)
     values = {
         "length": F.char_length(m),
@@ -103,10 +113,10 @@ def _features(x: Column, text: Column, kind: int) -> Column:
         "n_seps": F.char_length(F.regexp_replace(m, "[A-Za-z0-9]", "")),
         "distinct_digits": F.size(F.array_distinct(F.split(d, ""))),
         "first_digit": F.coalesce(F.try_to_number(F.substring(d, 1, 1), F.lit("9")).cast("int"), F.lit(-1)),
-        "before_letter": is_letter(F.when(x["s"] > 0, F.substring(text, x["s"], F.lit(1))).otherwise("")),
-        "after_letter": is_letter(F.substring(text, x["e"] + 1, F.lit(1))),
+        "before_letter": is_letter(before),
+        "after_letter": is_letter(after),
         "kind": F.lit(kind),
-    } | {w: F.contains(before, F.lit(w)).cast("int") for w in WORDS}
+    } | {w: F.contains(near, F.lit(w)).cast("int") for w in WORDS}
     return F.struct(x["s"].alias("s"), x["e"].alias("e"), *[values[f].cast("int").alias(f) for f in FEATURES])
 
 
@@ -193,10 +203,8 @@ def fit(spark: SparkSession) -> tuple[tuple[float, list], dict[str, float]]:
     rows = spark.createDataFrame(training_rows(), "text string, kind string, label int")
     cols = proposals(F.col("text"))
     rows = rows.select("text", "label", "kind", *[c.alias(f"p_{k}") for k, c in cols.items()])
-    first = F.coalesce(*[F.when(F.col("kind") == k, F.get(F.col(f"p_{k}"), F.lit(0))) for k in EXTRA])
-    rows = rows.select("text", "label", "kind", first.alias("x")).where("x is not null")
-    feats = F.coalesce(*[F.when(F.col("kind") == k, _features(F.col("x"), F.col("text"), i)) for i, k in enumerate(EXTRA)])
-    got = rows.select(feats.alias("f"), "label").collect()  # TRAIN_ROWS rows at most
+    feats = F.coalesce(*[F.when(F.col("kind") == k, F.get(_features(F.col(f"p_{k}"), F.col("text"), i), F.lit(0))) for i, k in enumerate(EXTRA)])
+    got = rows.select(feats.alias("f"), "label").where("f is not null").collect()  # TRAIN_ROWS rows at most
     return _fit(tuple(sorted((tuple(r.f[f] for f in FEATURES), r.label) for r in got)))
 
 
@@ -216,8 +224,7 @@ def detect(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str =
     df = df.withColumn("digit", t.rlike("[0-9]"))
     guard = lambda k, c: c if k in ("email", "masked") else F.when(F.col("digit"), c).otherwise(_none())
     df = df.select("row", "text", *[guard(k, c).alias(k) for k, c in (base_hits(t) | proposals(t)).items()])
-    of_kind = lambda i: lambda x: _features(x, t, i)  # noqa: E731  a lambda of two arguments would get the index
-    feats = [F.transform(F.col(k), of_kind(i)) for i, k in enumerate(EXTRA)]
+    feats = [_features(F.col(k), t, i) for i, k in enumerate(EXTRA)]
     df = df.select("row", "text", *BASE, F.concat(*feats).alias("f"))
     kinds = F.array(*[F.lit(k) for k in EXTRA])
     at_least = F.array(*[F.lit(float(min(cut[k], 1e300))) for k in EXTRA])
@@ -227,11 +234,10 @@ def detect(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text: str =
     )
     df = df.select("row", "text", *BASE, F.filter(scored, lambda x: x["score"] >= F.get(at_least, x["k"])).alias("x"))
     taken = F.concat(*[F.transform(k, lambda h: F.struct(h["s"].alias("s"), h["e"].alias("e"))) for k in BASE])
-    cross = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
     order = lambda a: F.struct(-a["score"], a["s"], a["k"])
-    free = F.filter("x", lambda a: ~F.exists(taken, lambda b: cross(a, b)))
+    free = spans.not_beaten(F.array_sort("x"), taken, lambda b, a: F.lit(True))
     df = df.select("row", "text", *BASE, free.alias("x"))
-    best = F.filter("x", lambda a: ~F.exists("x", lambda b: cross(a, b) & (order(b) < order(a))))
+    best = spans.not_beaten(F.col("x"), F.col("x"), lambda b, a: order(b) < order(a))
     return df.select("row.*", "text", *BASE, best.alias("extra"))
 
 

@@ -32,7 +32,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = f"{common.shared_dir(spark)}/secret_ledger"
+    ledger = spark.conf.get(secret_scan.LEDGER, None) or f"{common.shared_dir(spark)}/secret_ledger"
     return secret_scan.report(secret_scan.scan(_read(spark, sf_dir, "documents"), ledger))
 
 

@@ -3,14 +3,17 @@
 Every version of every document is addressed by the SHA-256 of its text. A ledger table holds what each
 (blob, rule version) pair contained; a run scans only blobs that the ledger lacks for the current rules, appends what it
 found, and joins the ledger back to all paths. Copies of a text, however many, are scanned once: they meet in a
-map-side aggregate before the only exchange that carries texts.
+map-side aggregate before the only exchange that carries texts. The ledger lies where the caller says; the registered query takes
+the folder from the session's ``LEDGER`` setting and keeps it for later runs, or starts a fresh one where that is unset.
 
 Defined results: a null text counts as empty and has no findings; every input row gives one output row, repeated rows and
-repeated ids included; an empty table gives an empty result; extra columns of the input are ignored.
+repeated ids included; a blob that the ledger holds twice counts once; a text may hold any number of secrets; an empty table gives an empty
+result; extra columns of the input are ignored, and those that clash with added names are kept in ``redacted``.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common, spans
 
+LEDGER = "spark.gridloom.secretLedger"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -49,7 +54,11 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", ("eyJ",)),
 )
 BASE = 3
-RULE_VERSION = "2"
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """A digest of the rules themselves: whoever edits one gets another version and a new scan."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
 def _hits(rule: Rule, text: Column, folded: Column) -> Column:
@@ -73,11 +82,12 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def _ledger(spark: SparkSession, path: str, version: str, schema) -> DataFrame | None:
-    """The part of the ledger that belongs to these rules; None if nothing has been written yet."""
+    """The part of the ledger that belongs to these rules, one row for each blob, also if two runs wrote it at the same time; None if
+    nothing has been written yet."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(schema).parquet(path).where(F.col("rule_version") == version)
+        return spark.read.schema(schema).parquet(path).where(F.col("rule_version") == version).dropDuplicates(["blob"])
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -91,7 +101,7 @@ def scan(
     paths: tuple[str, ...] = ("doc_id",),
     text: str = "text",
     rules: tuple[Rule, ...] = RULES,
-    rule_version: str = RULE_VERSION,
+    rule_version: str | None = None,
 ) -> DataFrame:
     """Scan unseen blobs into the ledger at ``ledger_path`` and return one row per input row.
 
@@ -102,9 +112,9 @@ def scan(
     return out.select("row.*", *[c for c in out.columns if c != "row"])
 
 
-def _scanned(docs: DataFrame, ledger_path: str, paths: tuple[str, ...], text: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+def _scanned(docs: DataFrame, ledger_path: str, paths: tuple[str, ...], text: str = "text", rules: tuple[Rule, ...] = RULES, rule_version: str | None = None) -> DataFrame:
     """As ``scan`` with the paths in one struct, so that their names can't clash."""
-    spark = docs.sparkSession
+    spark, rule_version = docs.sparkSession, rule_version or version_of(rules)
     versions = docs.select(F.struct(*[F.col(f"`{p}`") for p in paths]).alias("row"), F.unhex(F.sha2(common.text_of(text), 256)).alias("blob"))
     blobs = docs.select(
         F.unhex(F.sha2(common.text_of(text), 256)).alias("blob"), common.text_of(text).alias("text")
@@ -161,15 +171,7 @@ def redacted(docs: DataFrame, ledger_path: str) -> DataFrame:
     found = _scanned(docs, ledger_path, tuple(docs.columns))
     pair = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))
     found = found.select("row", F.array_sort(F.concat(*[F.transform(F.col(r.kind), pair) for r in RULES])).alias("spans"))
-    text = F.col("row.text")
-
-    def cut(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        out = F.when(x["s"] >= acc["at"], F.concat(acc["out"], gap, F.lit("[SECRET]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    clean = spans.replaced(F.col("row.text"), F.col("spans"), "[SECRET]")
     out = found.select("row", F.when(F.size("spans") > 0, clean).alias("clean"))
     new = {"text": F.coalesce("clean", "row.text"), "n_chars": F.when(F.col("clean").isNotNull(), F.char_length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

@@ -218,7 +218,7 @@ class Model:
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(row of the word, row of its stem) for each word, 0 where unknown. The cache is emptied when large."""
         cache = self.cache
-        if len(cache) > 250_000:
+        if len(cache) > 120_000:
             cache.clear()
         new = list(set(words).difference(cache))
         if new:

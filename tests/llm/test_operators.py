@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -69,6 +70,19 @@ def test_decontamination(spark, awkward, empty, clashing, bound):
     assert kept == {x[0] for x in contaminated([y for y in docs if y[0] is not None], items) if x[3] == 0}
 
 
+def test_rows_are_known_by_content(spark):
+    """Evaluated twice, a plan of unstable row order must give the same rows."""
+    rng = random.Random(21)
+    docs = [(i % 2900, words(rng, 30)) for i in range(3000)]
+    docs += docs[:40]
+    items = [(i, " ".join(docs[i][1].split()[3:5])) for i in range(30)] + [(50, words(rng, 20)), (51, docs[3][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = Counter(contaminated(docs, items))
+    for bound in (200_000, 3):
+        assert Counter(table(decontaminate.contamination(d, b, broadcast_grams=bound).drop("runs", "items"))) == want
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 def test_media(spark, awkward, clashing, empty, folder):
     rows = media.report(awkward, folder).collect()
@@ -340,6 +354,49 @@ def test_ledger_is_incremental(spark, folder):
     assert spark.read.parquet(path).count() == 6
 
 
+def test_ledger_written_twice(spark, folder):
+    path = folder + "/ledger"
+    docs = spark.createDataFrame([(1, "token=abcdefgh1"), (2, "plain")], "doc_id long, text string")
+    secret_scan.scan(docs, path)
+    spark.read.parquet(path).write.mode("append").parquet(path)  # as two runs at the same time would
+    assert spark.read.parquet(path).count() == 4
+    assert sorted(r.doc_id for r in secret_scan.scan(docs, path).collect()) == [1, 2]
+    assert secret_scan.version_of(secret_scan.RULES) != secret_scan.version_of(secret_scan.RULES[:-1])
+
+
+def test_query_keeps_a_configured_ledger(spark, folder):
+    """Two versions of a table: the second run scans the new blobs alone."""
+    from gridloom.llm import queries
+
+    schema = "doc_id long, text string"
+    for i, rows in enumerate(([(1, "token=abcdefgh1"), (2, "plain")], [(1, "token=abcdefgh1"), (2, "changed"), (3, "token=abcdefgh1")])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/v{i}/documents.parquet")
+    spark.conf.set(secret_scan.LEDGER, f"{folder}/kept")
+    try:
+        queries.op6_secret_scan(spark, f"{folder}/v0").collect()
+        before = {bytes(r.blob) for r in spark.read.parquet(f"{folder}/kept").collect()}
+        out = {r.doc_id: r.n_assign for r in queries.op6_secret_scan(spark, f"{folder}/v1").collect()}
+    finally:
+        spark.conf.unset(secret_scan.LEDGER)
+    after = [bytes(r.blob) for r in spark.read.parquet(f"{folder}/kept").collect()]
+    assert out == {1: 1, 2: 0, 3: 1}
+    assert len(before) == 2 and len(after) == 3 and set(after) - before == {hashlib.sha256(b"changed").digest()}
+
+
+def test_many_spans_in_one_text(spark, folder):
+    """100,000 of them, in time that grows little faster than the text."""
+    n = 100_000
+    secret = "é token=abcdefgh1 b" * n
+    docs = spark.createDataFrame([(1, secret, 7), (2, "a@b.c " * n, 7), (3, "call 555-123-4567 or a@b.cd " * 10_000, 7)], "doc_id long, text string, n_chars int")
+    began = time.time()
+    rows = {r.doc_id: r for r in secret_scan.report(secret_scan.scan(docs, folder + "/l")).collect()}
+    assert rows[1].n_assign == n and rows[1].base_sha256 == sha(",".join(f"assign:{19 * i + 2}:{19 * i + 17}" for i in range(n)))
+    assert secret_scan.redacted(docs, folder + "/l").where("doc_id = 1").first().text == "é [SECRET] b" * n
+    rows = {r.doc_id: r for r in pii.report(docs).collect()}
+    assert rows[2].n_email == n and rows[3].n_email == 10_000 and rows[3].spans.count("tel:") == 10_000
+    assert time.time() - began < 120
+
+
 def test_redaction(spark, folder):
     rows = [(1, "a token=abcdefgh1 b " + "ab" * 20 + " c", "en", "s", 99), (2, "clean", "en", "s", 5), (3, None, None, None, None), (2, "clean", "en", "s", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
