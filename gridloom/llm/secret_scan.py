@@ -129,7 +129,8 @@ def _scanned(docs: DataFrame, ledger_path: str, paths: tuple[str, ...], text: st
     found = find(blobs, rules)
     found = found.select("blob", F.lit(rule_version).alias("rule_version"), *[kept(F.col(r.kind)).alias(r.kind) for r in rules])
     found.write.mode("append").parquet(ledger_path)
-    seen = _ledger(spark, ledger_path, rule_version, schema).drop("rule_version")
+    # a table of its own, so that the join below has plain scans on both sides and Spark can split a blob with very many rows
+    seen = common.table(_ledger(spark, ledger_path, rule_version, schema).drop("rule_version"), f"{common.shared_dir(spark)}/known")
     return versions.join(seen, "blob", "left").withColumn("blob", F.lower(F.hex("blob")))
 
 
