@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,28 +38,36 @@ def gap_batches(spans: DataFrame, by: list[str], max_gap: int = MAX_GAP) -> Data
 def greedy_batches(spans: DataFrame, by: list[str], max_gap: int = MAX_GAP, max_batch: int = MAX_BATCH) -> DataFrame:
     """(by..., batch, offset, end, n): merge spans in offset order while the gap and the batch stay within bounds.
 
-    A fold over a file's sorted spans, so a file's tile directory must fit into one row, as it does in the file itself.
-    Overlapping spans have no gap; a batch ends at the farthest end of its spans.
+    Each batch depends on where the one before it ended, so spans of a file go in order through one task, as a stream of Arrow
+    batches that holds no more than the open batch. Overlapping spans have no gap; a batch ends at the farthest end of
+    its spans.
     """
-    span = F.struct(F.col("offset").cast("long").alias("o"), (F.col("offset") + F.col("length")).cast("long").alias("e"))
-    kind = "array<struct<o:bigint,e:bigint,n:bigint>>"
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        end = F.greatest(last["e"], s["e"])
-        joins = (F.size(acc) > 0) & (s["o"] - last["e"] <= max_gap) & (end - last["o"] <= max_batch)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["o"].alias("o"), end.alias("e"), (last["n"] + 1).alias("n"))))
-        fresh = F.concat(acc, F.array(F.struct(s["o"].alias("o"), s["e"].alias("e"), F.lit(1).cast("long").alias("n"))))
-        return F.when(joins, grown).otherwise(fresh).cast(kind)
-
-    # element_at() of an empty array is null under get(), which keeps the first step free of errors
-    def safe(acc: Column, s: Column) -> Column:
-        return F.when(F.size(acc) == 0, F.array(F.struct(s["o"].alias("o"), s["e"].alias("e"), F.lit(1).cast("long").alias("n"))).cast(kind)).otherwise(step(acc, s))
-
-    folded = spans.groupBy(*by).agg(F.sort_array(F.collect_list(span)).alias("s"))
-    folded = folded.withColumn("b", F.aggregate("s", F.array().cast(kind), safe))
-    out = folded.select(*by, F.posexplode("b").alias("batch", "b"))
-    return out.select(*by, F.col("batch").cast("long").alias("batch"), F.col("b.o").alias("offset"), F.col("b.e").alias("end"), F.col("b.n").alias("n"))
+    end = (F.col("offset") + F.col("length")).cast("long")
+    key = F.struct(*by).alias("key")
+    ordered = spans.select(key, F.col("offset").cast("long").alias("o"), end.alias("e")).repartition("key").sortWithinPartitions("key", "o", "e")
+    kind = ordered.schema["key"].dataType.simpleString()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_, number = None, None, 0
+        schema = None
+        for b in batches:
+            keys, o, e = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
+            schema = schema or pa.schema([("key", keys.type), ("batch", pa.int64()), ("offset", pa.int64()), ("end", pa.int64()), ("n", pa.int64())])
+            out = []
+            for k, s, t in zip(keys.to_pylist(), o, e, strict=True):
+                if k == now and s - open_[1] <= max_gap and max(open_[1], t) - open_[0] <= max_batch:
+                    open_ = (open_[0], max(open_[1], t), open_[2] + 1)
+                    continue
+                if open_:
+                    out.append({"key": now, "batch": number, "offset": open_[0], "end": open_[1], "n": open_[2]})
+                number = number + 1 if k == now else 0
+                now, open_ = k, (s, t, 1)
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if open_:
+            yield pa.RecordBatch.from_pylist([{"key": now, "batch": number, "offset": open_[0], "end": open_[1], "n": open_[2]}], schema=schema)
+
+    out = ordered.mapInArrow(merge, f"key {kind}, batch long, offset long, end long, n long")
+    return out.select("key.*", "batch", "offset", "end", "n")
 
 
 def packbits_runs(pixels: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import binary, codecs, predictors, results
-from ..functions.constants import COMPRESSION, SPECS, enum_names, tag_names
+from ..functions.constants import COMPRESSION, PHOTOMETRIC, PLANAR, PREDICTOR, SAMPLE_FORMAT, SPECS, TAGS, enum_names, tag_names
 from ..operators import grid, layout, spans, tags
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,12 +54,15 @@ VECTORS = "SELECT vec_id AS y, (i - 1)::BIGINT AS x, ((floor(embedding[i]::DOUBL
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as byte spans of 16 files; every seventh is skipped, which leaves gaps."""
-    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 16).alias("file"), F.col("n_chars").alias("length"))
-    return d.withColumn("offset", spans.offsets(F.col("length"), ["id"], ["file"], 8)).where("id % 7 <> 0")
+    """Documents as byte spans of 16 files; 2500 bytes stay free before every seventh, which leaves gaps."""
+    free = F.when(F.col("doc_id") % 7 == 0, 2500).otherwise(0)
+    d = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 16).alias("file"), F.col("n_chars").alias("length"), free.alias("free"))
+    at = spans.offsets(F.col("length") + F.col("free"), ["id"], ["file"], 8)
+    return d.withColumn("offset", at + F.col("free")).drop("free")
 
 
-SPANS = "SELECT * FROM (SELECT doc_id AS id, doc_id % 16 AS file, n_chars AS length, (8 + coalesce(sum(n_chars) OVER (PARTITION BY doc_id % 16 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"offset\" FROM documents) WHERE id % 7 <> 0"
+SPANS = """SELECT id, file, length, (8 + free + coalesce(sum(length + free) OVER (PARTITION BY file ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset"
+FROM (SELECT doc_id AS id, doc_id % 16 AS file, n_chars AS length, CASE WHEN doc_id % 7 = 0 THEN 2500 ELSE 0 END AS free FROM documents)"""
 
 
 def _image(spark: SparkSession, **v) -> DataFrame:
@@ -291,9 +294,9 @@ def hdelta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("x", "y", "v", predictors.unhdelta(F.col("delta"), ["y"], "x", 8).alias("back"))
 
 
-@query(f"SELECT y, c, x, v, delta FROM ({_hdelta_sql(f'SELECT y, x % 3 AS c, x // 3 AS x, v FROM ({VECTORS}) WHERE x < 63', 'y, c', 16)})")
-def hdelta_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _vectors(spark, sf_dir).where("x < 63").select("y", (F.col("x") % 3).alias("c"), F.floor(F.col("x") / 3).alias("x"), "v")
+@query(f"SELECT y, c, x, v, delta FROM ({_hdelta_sql(f'SELECT y, x % 4 AS c, x // 4 AS x, v FROM ({VECTORS})', 'y, c', 16)})")
+def hdelta_rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _vectors(spark, sf_dir).select("y", (F.col("x") % 4).alias("c"), F.floor(F.col("x") / 4).alias("x"), "v")
     return p.withColumn("delta", predictors.hdelta(F.col("v"), ["y", "c"], "x", 16))
 
 
@@ -315,15 +318,24 @@ def byteswap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _small_sql(e: int, m: int, bits: str) -> str:
+    """The value of a small float by its definition; every finite one is an exact double, so it may be compared as such."""
     bias, top = (1 << (e - 1)) - 1, (1 << e) - 1
     s, x, f = f"(({bits} >> {e + m}) & 1)", f"(({bits} >> {m}) & {top})", f"({bits} & {(1 << m) - 1})"
-    value = f"CASE WHEN {x} = 0 THEN {f} / {1 << m}.0 * pow(2.0, {1 - bias}) ELSE (1 + {f} / {1 << m}.0) * pow(2.0, {x} - {bias}) END"
-    return f"CASE WHEN {x} = {top} THEN CASE WHEN {f} = 0 THEN CASE WHEN {s} = 1 THEN '-inf' ELSE 'inf' END ELSE 'nan' END ELSE CAST(round(CASE WHEN {s} = 1 THEN -1 ELSE 1 END * ({value})::DOUBLE * 1048576)::HUGEINT % 1000000007 AS VARCHAR) END"
+    value = f"CASE WHEN {x} = 0 THEN {f}::DOUBLE / {1 << m} * pow(2.0, {1 - bias}) ELSE (1 + {f}::DOUBLE / {1 << m}) * pow(2.0, {x} - {bias}) END"
+    signed = f"(CASE WHEN {s} = 1 THEN -1 ELSE 1 END * ({value}))"
+    return _shown_sql(signed, f"{x} = {top}", f"CASE WHEN {f} <> 0 THEN 'nan' WHEN {s} = 1 THEN '-inf' ELSE 'inf' END")
+
+
+def _shown_sql(value: str, special: str, name: str) -> str:
+    """Exponent and 24 leading bits of a double as text, which any engine writes alike."""
+    power = f"floor(log2(abs({value})))"
+    return f"CASE WHEN {special} THEN {name} WHEN {value} = 0 THEN '0' ELSE {power}::BIGINT::VARCHAR || ':' || round({value} / pow(2.0, {power}) * 16777216)::BIGINT::VARCHAR END"
 
 
 def _shown(c):
-    scaled = F.round(c * 1048576).cast("decimal(38,0)") % 1000000007
-    return F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").otherwise(scaled.cast("decimal(38,0)").cast("string"))
+    power = F.floor(F.log2(F.abs(c)))
+    text = F.concat_ws(":", power.cast("long").cast("string"), F.round(c / F.pow(F.lit(2.0), power) * 16777216).cast("long").cast("string"))
+    return F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").when(c == 0, "0").otherwise(text)
 
 
 @query(f"SELECT bits, {_small_sql(5, 10, 'bits')} AS value FROM range(65536) AS t(bits)")
@@ -331,16 +343,17 @@ def float16_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(65536).select(F.col("id").alias("bits"), _shown(binary.float16_to_double(F.col("id"))).alias("value"))
 
 
-@query(f"SELECT bits, {_small_sql(7, 16, 'bits')} AS value FROM (SELECT (o_orderkey * 7919) % 16777216 AS bits FROM orders) WHERE (bits >> 16) & 127 < 95")
+@query(f"SELECT bits, {_small_sql(7, 16, 'bits')} AS value FROM (SELECT (o_orderkey * 7919) % 16777216 AS bits FROM orders)")
 def float24_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _read(spark, sf_dir, "orders").select(((F.col("o_orderkey") * 7919) % 16777216).alias("bits")).where("shiftright(bits, 16) & 127 < 95")
+    b = _read(spark, sf_dir, "orders").select(((F.col("o_orderkey") * 7919) % 16777216).alias("bits"))
     return b.select("bits", _shown(binary.float24_to_double(F.col("bits"))).alias("value"))
 
 
-@query("SELECT bits, bits AS back16 FROM range(65536) AS t(bits) WHERE (bits >> 10) & 31 < 31")
+@query("SELECT bits, CASE WHEN (bits >> 10) & 31 = 31 AND bits & 1023 <> 0 THEN 'nan' ELSE bits::VARCHAR END AS back16 FROM range(65536) AS t(bits)")
 def float16_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spark.range(65536).select(F.col("id").alias("bits")).where("shiftright(bits, 10) & 31 < 31")
-    return b.select("bits", binary.double_to_float16(binary.float16_to_double(F.col("bits"))).alias("back16"))
+    """All bit patterns; which NaN comes back is not defined."""
+    value = binary.float16_to_double(F.col("id"))
+    return spark.range(65536).select(F.col("id").alias("bits"), F.when(F.isnan(value), "nan").otherwise(binary.double_to_float16(value).cast("string")).alias("back16"))
 
 
 _RUNS = f"""SELECT y, run, min(x) AS start, any_value(v) AS v, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY y ORDER BY x ROWS UNBOUNDED PRECEDING)::BIGINT AS run
@@ -377,22 +390,8 @@ def rational_to_double(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.floor(binary.rational_to_double(scaled)).cast("long").alias("v"))
 
 
-@query("SELECT doc_id, len(string_split(t, chr(1))) - CASE WHEN ends_with(t, chr(1)) THEN 1 ELSE 0 END AS n, string_split(t, chr(1))[1] AS first FROM (SELECT doc_id, replace(substr(text, 1, 400), ' ', chr(1)) AS t FROM documents)")
-def nul_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").select("doc_id", F.replace(F.substring("text", 1, 400), F.lit(" "), F.lit("\x00")).alias("t"))
-    parts = binary.nul_split(F.col("t"))
-    return d.select("doc_id", F.size(parts).cast("long").alias("n"), F.get(parts, F.lit(0)).alias("first"))
-
-
-@query("SELECT doc_id, length(substr(text, 1, 50)) AS n FROM documents")
-def ascii_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.char_length(binary.ascii_trim(F.concat(F.substring("text", 1, 50), F.lit("\x00\x00")))).cast("long").alias("n"))
-
-
 @query("SELECT doc_id, len(string_split(t, chr(1))) - CASE WHEN ends_with(t, chr(1)) THEN 1 ELSE 0 END AS n, string_split(t, chr(1))[1] AS first, string_split(rtrim(t, chr(1)), chr(1))[-1] AS last FROM (SELECT doc_id, replace(text, ' ', chr(1)) AS t FROM documents)")
-def nul_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nul_split over whole texts; the SQL of ``nul_split`` holds a prefix."""
+def nul_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(" "), F.lit("\x00")).alias("t"))
     parts = binary.nul_split(F.col("t"))
     last = F.element_at(binary.nul_split(binary.ascii_trim(F.col("t"))), -1)
@@ -400,8 +399,7 @@ def nul_split_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT doc_id, length(text) AS n, sha256(text) AS digest FROM documents")
-def ascii_trim_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ascii_trim over whole texts; the SQL of ``ascii_trim`` holds a prefix."""
+def ascii_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = binary.ascii_trim(F.concat("text", F.lit("\x00\x00")))
     d = _read(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return d.select("doc_id", F.char_length("t").cast("long").alias("n"), F.sha2(F.col("t").cast("binary"), 256).alias("digest"))
@@ -507,12 +505,20 @@ def total_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("img", "bytes", F.round(spans.throughput(F.col("bytes"), F.lit(2.0)), 6).alias("mb_per_s"))
 
 
-@query()
+def _values(rows: list[tuple], names: str) -> str:
+    text = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({names})"
+
+
+_FAMILIES = {"Compression": COMPRESSION, "SampleFormat": SAMPLE_FORMAT, "Photometric": PHOTOMETRIC, "Predictor": PREDICTOR, "Planar": PLANAR}
+
+
+@query(_values([(t.code, t.name, t.type, t.shape) for t in TAGS.values()], "code, name, type, shape"))
 def known_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_names(spark)
 
 
-@query()
+@query(_values([(f, c, n) for f, e in _FAMILIES.items() for n, c in e.items()], "family, code, name"))
 def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enum_names(spark)
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 import glob
 import operator
 import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,6 +51,22 @@ def list_files(path: str) -> list[tuple[str, int]]:
     return sorted((n, os.path.getsize(n) if os.path.exists(n) else 0) for n in names)
 
 
+def folder_of(path: str):
+    """(file system, path in it) of a folder in any store that pyarrow knows."""
+    from pyarrow import fs
+
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file:"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder below the one the cluster shares (``spark.checkpoint.dir``); a local one only where none is set, as in tests."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="gridloom-")
+    return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+
+
 @dataclass
 class Stretch(InputPartition):
     files: list[tuple[str, tuple[int, int]]]
@@ -124,21 +142,21 @@ class Written(WriterCommitMessage):
 
 
 class RasterWriter(DataSourceWriter):
-    """One file per row. A file appears under its name only when it is complete."""
+    """One file per row, in any store. A file appears under its name only when it is complete."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.o = {k.lower(): v for k, v in options.items()}
 
     def write(self, iterator: Iterator) -> Written:
-        folder = self.o["path"].removeprefix("file://").removeprefix("file:")
-        os.makedirs(folder, exist_ok=True)
+        store, root = folder_of(self.o["path"])
+        store.create_dir(root, recursive=True)
         done = []
         for row in iterator:
-            data = encode_row(row.asDict(), self.o)
-            target = os.path.join(folder, row["name"])
-            with open(f"{target}.part-{os.getpid()}", "wb") as f:
-                f.write(data)
-            os.replace(f.name, target)
+            target = f"{root}/{row['name']}"
+            part = f"{target}.{uuid.uuid4().hex}.part"  # of this attempt alone
+            with store.open_output_stream(part) as f:
+                f.write(encode_row(row.asDict(), self.o))
+            store.move(part, target)
             done.append(target)
         return Written(done)
 
@@ -146,10 +164,13 @@ class RasterWriter(DataSourceWriter):
         pass
 
     def abort(self, messages: list) -> None:
+        store, _ = folder_of(self.o["path"])
         for m in messages:
             for f in m.files if m else ():
-                if os.path.exists(f):
-                    os.remove(f)
+                try:
+                    store.delete_file(f)
+                except FileNotFoundError:
+                    continue
 
 
 _DTYPES = {name: letter for name, _, _, letter in PIXEL_TYPES}

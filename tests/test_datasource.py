@@ -122,3 +122,20 @@ def test_greedy_equals_python(spark):
     for r in spans.greedy_batches(df, ["file"], 60, 500).orderBy("file", "batch").collect():
         got.setdefault(r.file, []).append(r.n)
     assert got == want
+
+
+def test_greedy_batches_of_a_million_spans(spark):
+    n = 1_000_000
+    s = spark.range(n).select(F.lit("a").alias("file"), (F.col("id") * 10).alias("offset"), F.lit(8).alias("length"))
+    out = spans.greedy_batches(s, ["file"], 5, 1000).agg(F.count(F.lit(1)).alias("batches"), F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    assert (out.batches, out.n, out.most) == (n // 100, n, 100)
+
+
+def test_sink_takes_a_uri(spark, images, tmp_path):
+    x = images[0]
+    df = spark.createDataFrame([("w.tif", 1, 50, 70, 3, "u16", x.tobytes())], "name string, depth int, height int, width int, samples int, pixel_type string, data binary")
+    datasource.register(spark)
+    df.write.format("raster").options(tile="1,32,32").mode("append").save(f"file://{tmp_path}/deep/er")
+    back = datasource.read_region(spark, f"file://{tmp_path}/deep/er").first()
+    assert back.data == x.tobytes()
+    assert [p.name for p in (tmp_path / "deep" / "er").iterdir()] == ["w.tif"]

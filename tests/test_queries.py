@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from gridloom.plans import files
 from gridloom.plans import queries as Q
 
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -26,7 +27,7 @@ def _plain(x):
     return x
 
 
-@pytest.mark.parametrize("name", list(Q.QUERIES))
+@pytest.mark.parametrize("name", list(files.QUERIES))
 def test_query(spark, duck, name):
     df = Q.QUERIES[name](spark, DIR)
     columns = sorted(df.columns)

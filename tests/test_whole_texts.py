@@ -9,11 +9,11 @@ def _texts(spark, folder):
     return f"{folder}"
 
 
-def test_nul_split_whole(spark, tmp_path):
-    got = {r.doc_id: (r.n, r.first, r["last"]) for r in Q.QUERIES["nul_split_whole"](spark, _texts(spark, tmp_path)).collect()}
+def test_nul_split(spark, tmp_path):
+    got = {r.doc_id: (r.n, r.first, r["last"]) for r in Q.QUERIES["nul_split"](spark, _texts(spark, tmp_path)).collect()}
     assert got[1] == (1001, "a", "end") and got[2] == (1, "x" * 5000, "x" * 5000) and got[4] == (2, "b", "c")
 
 
-def test_ascii_trim_whole(spark, tmp_path):
-    got = {r.doc_id: r.n for r in Q.QUERIES["ascii_trim_whole"](spark, _texts(spark, tmp_path)).collect()}
+def test_ascii_trim(spark, tmp_path):
+    got = {r.doc_id: r.n for r in Q.QUERIES["ascii_trim"](spark, _texts(spark, tmp_path)).collect()}
     assert got == {1: 2003, 2: 5000, 3: None, 4: 4}
