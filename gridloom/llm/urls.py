@@ -1,10 +1,12 @@
 """URL filters with redirect equivalence.
 
-Rules are matched to each url by built-in expressions. Redirect and canonical-link edges make aliases; their connected
+Redirect and canonical-link edges make aliases; their connected
 components are found by distributed steps, and a component without an explicit allow takes over a block of any member.
-An explicit rule on a url itself always decides that url; an explicit allow in a component protects its aliases.
+An explicit rule on a url itself always decides that url; an explicit allow in a component protects its aliases. Rules are a table of
+any size, joined by host suffix and path prefix. All canonical links and refreshes of a page count, and their targets are
+resolved against the page as url references are.
 
-Defined results: a null url, or one without ``://``, has an empty host and path, no rule and no aliases, and is allowed;
+Defined results: html of any length is read whole; a null url, or one without ``://``, has an empty host and path, no rule and no aliases, and is allowed;
 repeated rows are judged alike, one output row each; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -12,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -21,7 +23,7 @@ from .components import components
 
 @dataclass(frozen=True)
 class Rule:
-    """``host`` covers its subdomains; ``path`` is a prefix that starts with a slash. Up to a few hundred rules."""
+    """``host`` covers its subdomains; ``path`` is a prefix that starts with a slash."""
 
     host: str
     path: str
@@ -54,34 +56,75 @@ def split_url(url: Column) -> tuple[Column, Column, Column]:
     return common.lower_ascii(raw), path, query
 
 
-def match(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
-    """(rule name, verdict) of the longest rule that fits; nulls if none does. Equal lengths: the first listed."""
-    name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in sorted(reversed(rules), key=lambda r: len(r.name)):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        name, verdict = F.when(fits, F.lit(r.name)).otherwise(name), F.when(fits, F.lit(r.verdict)).otherwise(verdict)
-    return name, verdict
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rules as a table (rule_host, rule_path, rule_verdict, place): what ``judge`` takes, of any size. Of equally long rules that fit the
+    least place wins."""
+    rows = [(r.host, r.path, r.verdict, i) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "rule_host string, rule_path string, rule_verdict string, place long")
+
+
+def match(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, rule, own) of the distinct places (host, path) that a rule fits, by its longest rule.
+
+    Joins by equality alone: a host's suffixes at dots meet the rules' hosts, and the path's prefixes of the lengths that such a
+    host's rules have meet the rules' paths.
+    """
+    lengths = rules.groupBy("rule_host").agg(F.collect_set(F.char_length("rule_path")).alias("lengths"))  # not more than a path is long
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = places.select("host").distinct().select("host", F.explode(suffixes).alias("rule_host")).join(lengths, "rule_host")
+    cuts = places.join(hosts, "host").select("host", "path", "rule_host", F.explode(F.filter("lengths", lambda n: n <= F.char_length("path"))).alias("n"))
+    cuts = cuts.withColumn("rule_path", F.substring("path", F.lit(1), F.col("n")))
+    best = F.struct((F.char_length("rule_host") + F.char_length("rule_path")).alias("long"), (-F.col("place")).alias("place"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("own"))
+    return cuts.join(rules, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max(best).alias("x")).select("host", "path", "x.rule", "x.own")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without the segments ``.`` and ``..``."""
+
+    def step(done: Column, x: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(x == "..", up).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(F.contains(path, F.lit("/.")), F.array_join(last, "/")).otherwise(path)
+
+
+def resolved(target: Column, host: Column, path: Column) -> Column:
+    """A url reference as a whole url, seen from a page at host and path; null if it names no other page by host."""
+    t = F.regexp_extract(F.replace(target, F.lit("&amp;"), F.lit("&")), r"^[^#]*", 0)
+    own = F.regexp_extract(t, r"^[^?]*", 0)
+    query = F.regexp_extract(t, r"^[^?]*(.*)$", 1)
+    home, folder = F.concat(F.lit("https://"), host), F.regexp_extract(path, r"^.*/", 0)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    return (
+        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+        .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))  # mailto: and the like
+        .when(t.startswith("//"), F.concat(F.lit("https:"), t))
+        .when(t.startswith("/"), F.concat(home, _without_dots(own), query))
+        .when(t.startswith("?"), F.concat(home, path, query))
+        .when(t != "", F.concat(home, _without_dots(F.concat(folder, own)), query))
+    )
+
+
+LINK = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+META = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's node and that of its canonical link or immediate refresh. Nodes are host + path + query."""
+    """(a, b): a page's node and those of all its canonical links and refreshes. Nodes are host + path + query."""
     page = F.coalesce(F.col(html), F.lit(""))
-    link = F.regexp_extract(page, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    meta = F.regexp_extract(page, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
     low = F.lower(page)
-    link = F.when(F.contains(low, F.lit("canonical")), F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
-    meta = F.when(F.contains(low, F.lit("refresh")), F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
+    every = lambda word, tag, value: F.when(
+        F.contains(low, F.lit(word)), F.transform(F.regexp_extract_all(page, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, value, 1))
+    ).otherwise(F.array().cast("array<string>"))
+    targets = F.concat(every("canonical", LINK, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""), every("refresh", META, r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""))
     host, path, query = split_url(F.col(url))
-    both = pages.select(host.alias("host"), F.concat(host, path, query).alias("a"), F.explode_outer(F.array(link, meta)).alias("to"))
-    target = F.replace("to", F.lit("&amp;"), F.lit("&"))
-    scheme = F.lit("https:")
-    full = (
-        F.when(F.contains(target, F.lit("://")), target)
-        .when(target.startswith("//"), F.concat(scheme, target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("//"), F.col("host"), target))
-    )
+    both = pages.select(host.alias("host"), path.alias("path"), F.concat(host, path, query).alias("a"), F.explode(targets).alias("to"))
     # a generator keeps the optimizer from writing this expression out at each of its uses below
-    return _pairs(both.select("a", F.explode_outer(F.array(full)).alias("to")))
+    return _pairs(both.select("a", F.explode_outer(F.array(resolved(F.col("to"), F.col("host"), F.col("path")))).alias("to")))
 
 
 def redirect_edges(redirects: DataFrame, source: str = "from_url", target: str = "to_url") -> DataFrame:
@@ -98,52 +141,54 @@ def judge(
     pages: DataFrame,
     folder: str,
     *,
-    rules: tuple[Rule, ...] = RULES,
+    rules: tuple[Rule, ...] | DataFrame = RULES,
     redirects: DataFrame | None = None,
     page_id: str = "page_id",
     url: str = "url",
     html: str | None = "html",
 ) -> DataFrame:
-    """(page_id, host, path, rule, verdict, alias_verdict) for every row of ``pages``."""
+    """(page_id, host, path, rule, verdict) for every row of ``pages``. ``rules`` may be a table as ``rule_table`` makes."""
+    if not isinstance(rules, DataFrame):
+        rules = rule_table(pages.sparkSession, rules)
     edges = None if html is None else alias_edges(pages, url, html)
     if redirects is not None:
         more = redirect_edges(redirects)
         edges = more if edges is None else edges.unionByName(more)
     host, path, query = split_url(F.col(url))
     own = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"), query.alias("query"))
-    name, verdict = match(F.col("host"), F.col("path"), rules)
-    own = own.select("page_id", "host", "path", F.concat("host", "path", "query").alias("node"), name.alias("rule"), verdict.alias("own"))
+    own = own.withColumn("node", F.concat("host", "path", "query"))
+    places = own.select("host", "path")
     if edges is None:
-        voted = own.select("node", F.lit(None).cast("string").alias("alias_verdict")).limit(0)
+        voted = own.select(F.col("node").alias("to"), F.lit(None).cast("string").alias("alias_verdict")).limit(0)
+        ruled = common.table(match(places.distinct(), rules), f"{folder}/ruled")
     else:
-        roots = common.table(components(edges, f"{folder}/aliases"), f"{folder}/roots")
+        roots = components(edges, f"{folder}/aliases")
         h, p, _ = split_url(F.concat(F.lit("https://"), F.col("node")))
-        placed = roots.select("root", h.alias("h"), p.alias("p"))
-        _, vote = match(F.col("h"), F.col("p"), rules)
-        votes = placed.withColumn("vote", vote).groupBy("root").agg(
-            F.bool_or(F.col("vote") == "allow").alias("allowed"), F.bool_or(F.col("vote") == "block").alias("blocked")
-        )
+        placed = common.table(roots.select("node", "root", h.alias("host"), p.alias("path")), f"{folder}/roots")
+        ruled = common.table(match(places.unionByName(placed.select("host", "path")).distinct(), rules), f"{folder}/ruled")
+        votes = placed.join(ruled, ["host", "path"]).groupBy("root").agg(F.bool_or(F.col("own") == "allow").alias("allowed"), F.bool_or(F.col("own") == "block").alias("blocked"))
         votes = common.table(votes, f"{folder}/votes")
         said = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block")
-        voted = common.table(roots.join(votes, "root").select("node", said.alias("alias_verdict")), f"{folder}/voted")
-    out = own.join(voted, "node", "left")
+        voted = common.table(placed.join(votes, "root").select(F.col("node").alias("to"), said.alias("alias_verdict")), f"{folder}/voted")
+    out = own.join(ruled, ["host", "path"], "left").join(voted, F.col("node") == F.col("to"), "left")
     final = F.coalesce("own", "alias_verdict", F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", final.alias("verdict"))
 
 
 ORACLE = r"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
-link AS (
-  SELECT page_id, url,
-         regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS canon,
-         regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) AS fresh
-  FROM pages),
-split AS (SELECT page_id, canon, fresh, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM link),
+split AS (SELECT page_id, coalesce(html, '') AS page, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 hosted AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM split),
-own AS (SELECT page_id, canon, fresh, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+own AS (SELECT page_id, page, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*(\?[^#]*)?', 1) AS query FROM hosted),
-target AS (SELECT host || path || query AS a, replace(t, '&amp;', '&') AS t, host FROM own, unnest([canon, fresh]) AS u(t) WHERE t <> ''),
-absolute AS (SELECT a, CASE WHEN contains(t, '://') THEN substr(t, strpos(t, '://') + 3) WHEN starts_with(t, '//') THEN substr(t, 3) WHEN starts_with(t, '/') THEN host || t ELSE '' END AS rest FROM target),
+tag AS (SELECT host, path, host || path || query AS a, unnest(regexp_extract_all(page, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) AS x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)' AS p FROM own
+        UNION ALL SELECT host, path, host || path || query, unnest(regexp_extract_all(page, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)' FROM own),
+target AS (SELECT a, host, path, regexp_extract(replace(CASE WHEN p LIKE '%href%' THEN regexp_extract(x, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(x, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&'), '^[^#]*') AS t FROM tag),
+piece AS (SELECT *, regexp_extract(t, '^[^?]*') AS tp, regexp_extract(t, '^[^?]*(.*)$', 1) AS tq, CASE WHEN regexp_extract(path, '^.*/') = '' THEN '/' ELSE regexp_extract(path, '^.*/') END AS dir FROM target WHERE t <> ''),
+joined AS (SELECT *, string_split(CASE WHEN starts_with(t, '/') THEN tp ELSE dir || tp END, '/') AS seg FROM piece),
+dotted AS (SELECT *, list_reduce(list_transform(seg, lambda s: [s]), lambda acc, s: CASE WHEN s[1] = '..' THEN acc[1:greatest(len(acc) - 1, 1)] WHEN s[1] = '.' THEN acc ELSE list_concat(acc, s) END) AS done FROM joined),
+absolute AS (SELECT a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(t, strpos(t, '://') + 3) WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN '' WHEN starts_with(t, '//') THEN substr(t, 3)
+             WHEN starts_with(t, '?') THEN host || path || tq ELSE host || array_to_string(CASE WHEN seg[-1] IN ('.', '..') THEN list_concat(done, ['']) ELSE done END, '/') || tq END AS rest FROM dotted),
 aimed AS (SELECT a, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM absolute),
 edge AS (SELECT DISTINCT a, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(substr(rest, length(raw) + 1), '^[^#]*') AS b FROM aimed WHERE a <> ''),
 both_ways AS (SELECT a, b FROM edge WHERE b <> '' AND a <> b UNION SELECT b, a FROM edge WHERE b <> '' AND a <> b),

@@ -147,6 +147,48 @@ def test_urls(spark, folder):
     assert table(urls.judge(pages.limit(0), folder + "/e")) == []
 
 
+def test_url_references(spark):
+    cases = [
+        ("http://x.y/z", "http://x.y/z"), ("HTTPS://x.y", "HTTPS://x.y"), ("//q.net/p", "https://q.net/p"), ("/out?u=http://h/p", "https://h.org/out?u=http://h/p"), ("page2", "https://h.org/a/b/page2"),
+        ("../x?k#f", "https://h.org/a/x?k"), ("?id=3", "https://h.org/a/b/c?id=3"), ("./", "https://h.org/a/b/"), ("..", "https://h.org/a/"), ("../../../../r", "https://h.org/r"), ("/s/./t/../u", "https://h.org/s/u"),
+        ("mailto:a@b.c", None), ("#top", None), ("", None), ("a?b=../c", "https://h.org/a/b/a?b=../c"), ("?a=1&amp;b=2", "https://h.org/a/b/c?a=1&b=2"), (".hidden", "https://h.org/a/b/.hidden"),
+    ]
+    df = spark.createDataFrame([(t, w, "h.org", "/a/b/c") for t, w in cases], "t string, want string, host string, path string")
+    got = df.select("t", "want", urls.resolved(F.col("t"), F.col("host"), F.col("path")).alias("got")).collect()
+    assert [(r.t, r.got) for r in got] == cases
+    assert df.select(urls.resolved(F.lit("n"), F.col("host"), F.lit("")).alias("x")).first().x == "https://h.org/n"
+
+
+def test_aliases_by_relative_links(spark, folder):
+    link = lambda *to: "".join(f'<link rel="canonical" href="{t}">' for t in to)
+    refresh = lambda to: f'<meta http-equiv=refresh content="0;URL={to}">'
+    rows = [
+        (1, "https://m.org/dir/a", link("b")), (2, "https://m.org/dir/b", refresh("../es2/c?x=1")), (3, "https://m.org/es2/c?x=1", link("nothing", "https://k.org/es/1", "https://k.org/fr/")),
+        (4, "https://m.org/dir/z", link("mailto:a@k.org/es/1")), (5, "https://k.org/fr/", refresh("?id=3")), (6, "https://k.org/fr/?id=3", None), (7, "https://m.org/es2/nothing", ""), (8, "https://m.org/es2/other", link("/out?u=https://k.org/es/1")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, folder).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "block", 8: "allow"}
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    want = sorted(map(repr, con.sql(urls.ORACLE).fetchall()))
+    assert sorted(repr(tuple(r)) for r in urls.judge(pages, folder + "/o").collect()) == want
+
+
+def test_rules_of_any_number(spark, folder):
+    rng = random.Random(30)
+    hosts = ["com", "a.com", "b.a.com", "org", "x.org", "c.b.a.com"]
+    rules = tuple({(h, p): urls.Rule(h, p, rng.choice(["allow", "block"])) for h, p in ((rng.choice(hosts), "/" + "".join(rng.choice("ab/") for _ in range(rng.randint(0, 5)))) for _ in range(3000))}.values())
+    assert len(rules) > 500
+    rows = [(i, f"http://{rng.choice(['', 'w.', 'nota.'])}{rng.choice(hosts)}/{''.join(rng.choice('ab/') for _ in range(rng.randint(0, 9)))}") for i in range(400)]
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), folder, rules=rules, html=None).collect()}
+    for i, u in rows:
+        host, path = u[7:].split("/", 1)
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and ("/" + path).startswith(r.path)]
+        best = max(fits, key=lambda r: len(r.name)) if fits else None  # the first listed of equals
+        assert got[i] == ((best.name, best.verdict) if best else (None, "allow"))
+
+
 def test_components(spark, folder):
     rng = random.Random(3)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(500, i) for i in range(600, 900)] + [(i, i + 1) for i in range(1000, 1100)] + [(7, 7), (None, 3)]
