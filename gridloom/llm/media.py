@@ -3,7 +3,7 @@
 Texts become 8-bit greyscale PNG images of 192 pixels a row. Each task packs its images into tar shards in the shared
 folder, one member per distinct payload it meets, named by the payload's SHA-256; rows carry digest, shard, offset and
 length. A grouped minimum then names one canonical member per digest, which all rows of that content use; members that
-lost are unreferenced. Header-only range reads (33 bytes) fill the metadata columns, full range reads the features.
+lost are unreferenced. A pass of range reads of 33 bytes fills the metadata columns; another reads whole members for the features.
 
 A shard's name is unique to the task attempt that wrote it, and the table of locations is committed by Spark, so rows
 refer to shards of successful attempts only. No exchange carries payloads.
@@ -204,28 +204,26 @@ def metadata(objects: DataFrame, folder: str) -> DataFrame:
 
 
 def features(objects: DataFrame, folder: str) -> DataFrame:
-    """Metadata columns from the header, and what the stored bytes hold, for each object."""
+    """What the stored bytes of each object hold."""
 
     def work(read, length: int) -> tuple:
-        width, height, bits, _ = header(read(HEADER_BYTES))
         media = read(length)
         samples = decode(media)
-        return (
-            width, height, bits, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]),
-            len(media), hashlib.sha256(media).hexdigest(), feature(samples),
-        )
-
-    names = ["width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    schema = "digest binary, width long, height long, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)
+
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    schema = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return _ranges(objects).mapInArrow(_reader(f"{folder}/shards", work, names, kinds), schema)
 
 
 def report(docs: DataFrame, folder: str) -> DataFrame:
+    """Metadata columns by the header-only pass, features by the pass over whole members, for every row of ``docs``."""
     rows = store(docs, folder)
     objects = canonical(rows, folder)
-    found = common.table(features(objects, folder), f"{folder}/features")
+    heads = common.table(metadata(objects, folder), f"{folder}/heads")
+    found = common.table(features(objects, folder).join(heads, "digest"), f"{folder}/features")
     out = rows.select("doc_id", "n_bytes", "digest").join(found, "digest")
     return out.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits"
     )
