@@ -6,8 +6,8 @@ on that host: the global mean is the prior of hosts, a host's posterior the prio
 estimated from the spread between groups (method of moments) over all rows. A path's posterior as seen by a document
 leaves the document out, so a site of one page says nothing about it.
 
-Defined results: a null text is an empty one; a null host or path name is a group of its own; rows may repeat; without
-usable labels (none, or of one class) every document has even odds and is kept; an empty table gives an empty result.
+Defined results: a null text is an empty one; a null host or path name is a group of its own; rows may repeat; a text of any length is read
+whole; columns are chosen by name, so extra ones don't clash; without usable labels (none, or of one class) every document has even odds and is kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -95,14 +95,16 @@ def sample_of(labels: DataFrame, column: str, bound: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> tuple[np.ndarray, np.ndarray] | None:
-    """The classifier from labelled rows; None if they have one class or none. Broadcasts ``bound`` ids at most."""
+    """The classifier from labelled rows; None if they have one class or none. Broadcasts ``bound`` ids and collects features of as many
+    rows at most; of several rows of a labelled doc_id one text is learnt from."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"y": b["y"].astype("float64"), "x": [features(t).tolist() for t in b["text"]]})
 
     few = F.broadcast(sample_of(labels, "quality", bound))
-    got = docs.select("doc_id", "text").join(few, "doc_id").select("text", "y").mapInPandas(rows, "y double, x array<double>").toPandas()
+    chosen = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
+    got = chosen.select("text", "y").mapInPandas(rows, "y double, x array<double>").toPandas()
     if got["y"].nunique() < 2:
         return None
     return fit(np.array(got["x"].tolist()), got["y"].to_numpy())
