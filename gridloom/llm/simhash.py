@@ -2,14 +2,18 @@
 
 Fingerprints are computed once per document (an Arrow-batched function; hashing and bit counts per batch) and reduced to
 distinct values at once, so copies of a text cost one row. Bits that correlate over the corpus are grouped into
-``PARTS`` parts, of unequal width where the groups are. Thresholds T_i >= -1 with sum(T_i) = distance - parts + 1 make
+parts, of unequal width where the groups are; how many (``PARTS``) is chosen with the thresholds. Thresholds T_i >= -1 with sum(T_i) = distance - parts + 1 make
 every linked pair agree up to T_i bits in some part i; a dynamic programme picks the cheapest thresholds from candidate
-counts estimated over all fingerprints. Probing groups fingerprints by a part's bits (for T_i > 0 with T_i bits masked
+counts estimated over all fingerprints: few long parts with masked bits where there are very many fingerprints. Probing groups fingerprints by a part's bits (for T_i > 0 with T_i bits masked
 out, in all ways), and every candidate pair is verified on all 64 bits.
 
 Groups above ``LIGHT`` members aren't paired. There each fingerprint lists itself and its 64 single-bit neighbours: two
 fingerprints differ by at most two bits exactly if their lists meet, and no list entry can have more than 65 owners, so
 this finds every link of a group of any size in linear work.
+
+Defined results: a null or wordless text has fingerprint zero, which is linked like any other; every input row gives one output
+row, also repeated ones; a component whose ids are all null has a null id; a text of any length is read whole; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from . import common, near_copies
 from .components import components
 
 BITS = 64
-PARTS = 3
+PARTS = (1, 2, 3, 4)  # numbers of parts to choose from
 DISTANCE = 2
 LIGHT = 64
 SHINGLE = 3
@@ -43,11 +47,12 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     w = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # ASCII case and white space only
     if not w:
         return 0
-    grams = [b" ".join(w)] if len(w) < width else [b" ".join(g) for g in zip(*[w[i:] for i in range(width)], strict=False)]
-    n = len(grams)
+    n = max(len(w) - width + 1, 1)
     count = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):  # bounded memory for very long texts
-        h = np.array([xxh64_intdigest(g, SEED) for g in grams[at : at + (1 << 16)]], "<u8")
+    for at in range(0, n, 1 << 16):  # shingles of a very long text are never all there at once
+        part = w[at : at + (1 << 16) + width - 1]
+        grams = [part] if n == 1 else zip(*[part[i:] for i in range(width)], strict=False)
+        h = np.array([xxh64_intdigest(b" ".join(g), SEED) for g in grams], "<u8")
         count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits((2 * count > n).astype(np.uint8), bitorder="little").view("<i8")[0])
 
@@ -80,7 +85,7 @@ def cooccurrence(fps: DataFrame) -> np.ndarray:
     return out.reshape(BITS, BITS)
 
 
-def group_bits(together: np.ndarray, n: int, parts: int = PARTS, slack: int = 3) -> list[list[int]]:
+def group_bits(together: np.ndarray, n: int, parts: int = 3, slack: int = 3) -> list[list[int]]:
     """Bits into parts, correlated bits first: merge the most correlated groups while they fit, then pack the groups."""
     p = np.diag(together) / max(n, 1)
     cov = together / max(n, 1) - np.outer(p, p)
@@ -106,6 +111,11 @@ def thresholds(pairs: list[float], odds: list[float], widths: list[int], n: int,
     ``pairs``: candidate pairs at T = 0; ``odds``: expected pairs one bit away for each such pair. A probe costs as much as
     a candidate.
     """
+    return list(_cheapest(pairs, odds, widths, n, distance)[1])
+
+
+def _cheapest(pairs: list[float], odds: list[float], widths: list[int], n: int, distance: int) -> tuple[float, tuple[int, ...]]:
+    """Cost and thresholds."""
 
     def cost(i: int, t: int) -> float:
         if t < 0:
@@ -123,7 +133,7 @@ def thresholds(pairs: list[float], odds: list[float], widths: list[int], n: int,
                     if total + t not in new or x < new[total + t]:
                         new[total + t] = x
         best = new
-    return list(best[distance - len(pairs) + 1][1])
+    return best[distance - len(pairs) + 1]
 
 
 def _keys(parts: list[list[int]], ts: list[int]) -> Column:
@@ -136,23 +146,35 @@ def _keys(parts: list[list[int]], ts: list[int]) -> Column:
     return F.array(*keys)
 
 
-def links(fps: DataFrame, folder: str, parts: int = PARTS, distance: int = DISTANCE, light: int = LIGHT) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints within ``distance`` (at most 2) bits: every link in light
-    groups, and stars over shared neighbours, which connect the same fingerprints, in heavy ones."""
-    if distance > 2:
-        raise ValueError("heavy groups are resolved for at most two differing bits")
+def plan(fps: DataFrame, counts: tuple[int, ...] = PARTS, distance: int = DISTANCE, light: int = LIGHT) -> tuple[list[list[int]], list[int]]:
+    """Parts and thresholds of the cheapest probe: for each number of parts the bits are grouped and the dynamic programme finds the
+    thresholds; candidates are counted over all fingerprints, for all of these parts at once."""
     n = fps.count()
     together = cooccurrence(fps)
-    grouped = group_bits(together, n, parts)
     p = np.diag(together) / max(n, 1)
     same = p**2 + (1 - p) ** 2
-    odds = [float(sum((1 - same[b]) / same[b] for b in bits)) for bits in grouped]
-    sizes = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits)))) for bits in grouped])).alias("part", "v"))
-    sizes = sizes.groupBy("part", "v").count()
+    grouped = [group_bits(together, n, k) for k in counts]
+    flat = [bits for parts in grouped for bits in parts]
+    masks = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits)))) for bits in flat])
+    sizes = fps.select(F.posexplode(masks).alias("part", "v")).groupBy("part", "v").count()
     work = F.when(F.col("count") <= light, F.col("count") * (F.col("count") - 1) / 2).otherwise(F.col("count") * (BITS + 1))
-    got = {r.part: float(r.c) for r in sizes.groupBy("part").agg(F.sum(work).alias("c")).collect()}
-    ts = thresholds([got.get(i, 0.0) for i in range(len(grouped))], odds, [len(b) for b in grouped], n, distance)
-
+    got = {r.part: float(r.c) for r in sizes.groupBy("part").agg(F.sum(work).alias("c")).collect()}  # a row for each part
+    best, at = None, 0
+    for parts in grouped:
+        odds = [float(sum((1 - same[b]) / same[b] for b in bits)) for bits in parts]
+        found = _cheapest([got.get(at + i, 0.0) for i in range(len(parts))], odds, [len(b) for b in parts], n, distance)
+        at += len(parts)
+        if best is None or found[0] < best[0]:
+            best = (found[0], parts, list(found[1]))
+    return best[1], best[2]
+
+
+def links(fps: DataFrame, folder: str, parts: tuple[int, ...] = PARTS, distance: int = DISTANCE, light: int = LIGHT) -> DataFrame:
+    """Edges (a, b) that connect all distinct fingerprints within ``distance`` (at most 2) bits: every link in light
+    groups, and stars over shared neighbours, which connect the same fingerprints, in heavy ones."""
+    if distance > 2:
+        raise ValueError("heavy groups are resolved for at most two differing bits")
+    grouped, ts = plan(fps, parts, distance, light)
     index = common.table(fps.select("fp", F.explode(_keys(grouped, ts)).alias("k")), f"{folder}/index")
     counts = common.table(index.groupBy("k").count().where("count > 1"), f"{folder}/counts")
     index = common.table(index.join(counts, "k"), f"{folder}/candidates")

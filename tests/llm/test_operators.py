@@ -106,6 +106,28 @@ def test_media(spark, awkward, clashing, empty, folder):
         media.decode(media.encode(b" " * 192)[:-20] + b"x" * 20)
 
 
+def slow_feature(data):
+    n, count = len(data), Counter(data)
+    entropy = -sum(c / n * np.log2(c / n) for c in count.values())
+    still = sum(a == b for a, b in zip(data, data[1:], strict=False)) / (n - 1)
+    bins = "".join(f"{min(sum(c for b, c in count.items() if b // 32 == i) * 255 // n, 255):02x}" for i in range(8))
+    return f"mean={sum(data) / n:.4f};entropy={entropy:.4f};still={still:.4f};hist={bins}"
+
+
+def test_media_features(spark, folder):
+    rng = random.Random(33)
+    docs = [(i, words(rng, rng.randint(0, 300))) for i in range(30)] + [(40, None), (41, "é" * 700), (42, "a" * 192), (43, "a" * 193)]
+    rows = {r.doc_id: r for r in media.report(spark.createDataFrame(docs, "doc_id long, text string"), folder).collect()}
+    for i, t in docs:
+        p = raw(t) + b" " * (-len(raw(t)) % 192 if t else 192)
+        r, stored = rows[i], media.encode(p)
+        assert (r.feature, r.width, r.height, r.bits) == (slow_feature(p), 192, len(p) // 192, 8)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), sha(stored))
+        width, height = int.from_bytes(stored[16:20], "big"), int.from_bytes(stored[20:24], "big")
+        lines = zlib.decompress(stored[41 : 41 + int.from_bytes(stored[33:37], "big")])  # the one data chunk
+        assert b"".join(lines[y * (width + 1) + 1 : (y + 1) * (width + 1)] for y in range(height)) == p
+
+
 def test_tar_shards_are_tar_files(awkward, folder):
     import tarfile
 
@@ -286,13 +308,15 @@ def test_fingerprints(awkward, folder):
         h = [xxh64_intdigest(g.encode(), 42) for g in grams]
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
-    for r in awkward.limit(9).collect():
-        if len(r.text or "") < 100_000:
-            assert simhash.fingerprint(r.text) % (1 << 64) == slow(r.text)
+    for r in awkward.collect():
+        assert simhash.fingerprint(r.text) % (1 << 64) == slow(r.text)
+    long_ = words(random.Random(1), 150_000)
+    for t in (long_, " ".join(long_.split()[: (1 << 16) + 2]), " ".join(long_.split()[: (1 << 16) + 3]), "a b", "a b c", "a"):
+        assert simhash.fingerprint(t) % (1 << 64) == slow(t)
 
 
 @pytest.mark.parametrize("light", [64, 3])
-@pytest.mark.parametrize("parts", [2, 3, 4])
+@pytest.mark.parametrize("parts", [1, 2, 3, 4])
 def test_links_are_complete(spark, folder, light, parts):
     rng = random.Random(parts)
     centre = [rng.getrandbits(64) for _ in range(12)]
@@ -305,7 +329,7 @@ def test_links_are_complete(spark, folder, light, parts):
             fps.add(x)
     fps = sorted(fps)
     df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
-    edges = simhash.links(df, folder, parts, 2, light)
+    edges = simhash.links(df, folder, (parts,), 2, light)
     roots = {a % (1 << 64): b for a, b in table(components.components(edges, folder))}
     parent = {x: x for x in fps}
 
@@ -325,6 +349,17 @@ def test_links_are_complete(spark, folder, light, parts):
     assert len({v[0] for v in groups.values()}) == len(groups)
 
 
+def test_parts_follow_the_number_of_fingerprints(spark):
+    rng = random.Random(31)
+    few = spark.createDataFrame([(simhash._signed(rng.getrandbits(64)),) for _ in range(3000)], "fp long")
+    parts, ts = simhash.plan(few)
+    assert sum(ts) == 2 - len(parts) + 1 and sorted(sum(parts, [])) == list(range(64))
+    crowded = lambda n, k: n * n / 2 / 2 ** (64 / k)  # noqa: E731  pairs of random fingerprints that agree in one of k parts
+    for n, want in ((10**4, 3), (10**10, 2)):
+        cost = {k: simhash._cheapest([crowded(n, k)] * k, [64 / k] * k, [64 // k] * k, n, 2)[0] for k in simhash.PARTS}
+        assert min(cost, key=cost.get) == want
+
+
 def test_thresholds():
     assert simhash.thresholds([5, 5, 5], [9, 9, 9], [21, 21, 22], 10) == [0, 0, 0]
     assert sum(simhash.thresholds([1e9, 5, 5], [9, 0.1, 9], [21, 3, 22], 10)) == 0
@@ -467,6 +502,42 @@ def test_quality(spark, awkward, clashing, empty, folder):
     assert all(r.keep and abs(r.quality - 0.5) < 1e-9 for r in none)
 
 
+def test_posteriors(spark, folder):
+    """The hierarchy by plain sums."""
+    rng = random.Random(34)
+    rows = [(i, words(rng, rng.randint(1, 80)) * (1 + i % 3), rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", None, f"lone{i}"]), None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.6), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.assess(docs, labels, folder).collect()}
+    p = {i: out[i].p_doc for i in out}
+    host, path = {r[0]: r[3] for r in rows}, {r[0]: (r[3], r[2]) for r in rows}
+    mean = sum(p.values()) / len(p)
+
+    def strength(groups, centre):
+        n, g = sum(map(len, groups.values())), len(groups)
+        between = sum(len(v) * (sum(v) / len(v) - centre[k]) ** 2 for k, v in groups.items())
+        within = sum(sum(x * x for x in v) - sum(v) ** 2 / len(v) for v in groups.values()) / (n - g)
+        spread = (between - (g - 1) * within) / (n - sum(len(v) ** 2 for v in groups.values()) / n)
+        return min(max(within / spread, 2.0), 1000.0) if spread > 0 else 1000.0
+
+    def grouped(of):
+        found = {}
+        for i, k in of.items():
+            found.setdefault(k, []).append(p[i])
+        return found
+
+    hosts, paths = grouped(host), grouped(path)
+    k = strength(hosts, dict.fromkeys(hosts, mean))
+    of_host = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in hosts.items()}
+    k = strength(paths, {x: of_host[x[0]] for x in paths})
+    logit = lambda x: np.log(max(x, 1e-6) / max(1 - x, 1e-6))
+    for i, r in out.items():
+        v = paths[path[i]]
+        others = (sum(v) - p[i] + k * of_host[host[i]]) / (len(v) - 1 + k)
+        score = 1 / (1 + np.exp(-(logit(p[i]) + logit(others) - logit(mean))))
+        assert np.allclose((r.host_posterior, r.path_posterior, r.quality), (of_host[host[i]], others, score), atol=1e-9) and r.keep == (r.quality >= 0.5)
+
+
 def test_sparse_sites_shrink(spark, folder):
     docs = spark.createDataFrame([(i, "x y z " * (i % 7 + 1), "en", "big" if i < 90 else f"lone{i}", None) for i in range(100)], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
