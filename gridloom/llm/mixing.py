@@ -5,12 +5,14 @@ weight; a child whose supply (its tokens times ``max_epochs``) is short gets its
 siblings by weight. Only what a whole subtree lacks reaches the siblings of its ancestors. Each leaf then takes whole
 epochs while its budget lasts and, of the last one, the token prefix in an order that seed and epoch fix.
 
-The prefix of a leaf of any size needs no sort of the leaf: rows fall into ``BUCKETS`` ranges of the order's key, token
-sums per range show the range that the budget ends in, and only that range is sorted.
+The prefix of a leaf of any size needs no sort of the leaf: rows fall into 4096 ranges of the order's key, token
+sums per range show the range that the budget ends in, and that range alone is split again until it is small. Texts take no part in
+this; equal rows are counted, not listed.
 
 Defined results: null texts have no tokens and aren't chosen; a null domain, language or source is a name of its own; nodes
-without a weight have weight ``default``; with a null id the order still is fixed, equal rows being exchangeable; an
-empty table gives an empty result.
+without a weight have weight ``default``; rows that share an id, or have none, are ordered by a hash of all they hold, equal rows
+being exchangeable; a text of any length counts whole; an input column named domain, epoch, tokens or tokens_taken, which the result
+adds, comes out as ``input_...``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 4096
+DIGITS = 3  # hex digits of the order that a step looks at: 4096 ranges
+PLACES = 48  # hex digits of the order: MD5 of seed, epoch and id, then a hash of the row
+EDGE_ROWS = 20_000
 BROADCAST_LEAVES = 50_000
 LEVELS = ("domain", "lang", "source")
 
@@ -103,25 +107,51 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _named(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """The row as one struct, the tree's names and tokens; null is a name of its own."""
+    """The row as one struct, the tree's names, tokens, id and a hash of all it holds; null is a name of its own."""
     null = F.lit("∅")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        whole.alias("_row"),
         *[F.coalesce(columns[k].cast("string"), null).alias(f"_{k}") for k in LEVELS],
         tokens_of(F.col("text")).alias("_tokens"),
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"),
+        F.xxhash64(whole).alias("_content"),
     )
 
 
-def mix_sources(docs: DataFrame, folder: str, mix: Mix | None = None, columns: dict[str, Column] | None = None) -> DataFrame:
+def _cuts(light: DataFrame, plan: DataFrame, folder: str, edge_rows: int) -> tuple[DataFrame, int]:
+    """((leaf, epochs, rest, prefix, before), digits): where in each leaf's order the budget ends.
+
+    ``light`` has (leaf, tokens, at), ``at`` being the place in the order as hex digits. Token sums by the next ``DIGITS`` of them
+    show the range that the budget ends in, which is then split by the ``DIGITS`` after these, until no such range holds more than
+    ``edge_rows`` rows or all digits are used and its rows are equal. A step sums light rows of the open ranges alone.
+    """
+    leaf = list(LEVELS)
+    cuts = plan.select(*leaf, "epochs", "rest", F.lit("").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    for used in range(0, PLACES, DIGITS):
+        step = F.substring("at", used + 1, DIGITS)
+        open_ = light.join(cuts.select(*leaf, "prefix"), leaf).where(F.substring("at", F.lit(1), F.lit(used)) == F.col("prefix"))
+        sums = open_.groupBy(*leaf, step.alias("step")).agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("rows"))
+        w = Window.partitionBy(*leaf).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows of a leaf at most
+        sums = sums.withColumn("sum", F.coalesce(F.sum("n").over(w), F.lit(0))).join(cuts.drop("rows"), leaf).withColumn("start", F.col("before") + F.col("sum"))
+        found = sums.where((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("n")))
+        found = found.select(*leaf, "epochs", "rest", F.concat("prefix", "step").alias("prefix"), F.col("start").alias("before"), "rows")
+        cuts = common.table(found, f"{folder}/cuts-{used}")
+        if (cuts.agg(F.max("rows").alias("n")).first().n or 0) <= edge_rows:  # one number
+            break
+    return cuts.drop("rows"), used + DIGITS
+
+
+def mix_sources(docs: DataFrame, folder: str, mix: Mix | None = None, columns: dict[str, Column] | None = None, edge_rows: int = EDGE_ROWS) -> DataFrame:
     """Chosen rows: the columns of ``docs`` with domain, epoch, tokens and tokens_taken; one row per document and epoch.
 
     The tokens taken in a leaf add up to its budget exactly: the last document of the prefix is taken in part.
     """
     mix = mix or Mix()
     columns = columns or {"domain": domain_of(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    leaf, under = list(LEVELS), [f"_{k}" for k in LEVELS]
     named = _named(docs, columns)
-    light = common.table(named.select(*[F.col(f"_{k}").alias(k) for k in LEVELS], F.col("_tokens").alias("tokens"), F.col("_key").alias("key")), f"{folder}/light")
+    light = common.table(named.where("_tokens > 0").select(*[F.col(f"_{k}").alias(k) for k in LEVELS], *[F.col(f"_{c}").alias(c) for c in ("tokens", "key", "content")]), f"{folder}/light")
     leaves = common.table(light.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), f"{folder}/leaves")
     plan = budgets(leaves, mix).where("tokens > 0")
     plan = plan.withColumn("epochs", F.expr("budget div tokens")).withColumn("rest", F.col("budget") % F.col("tokens"))
@@ -129,30 +159,43 @@ def mix_sources(docs: DataFrame, folder: str, mix: Mix | None = None, columns: d
     small = plan.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
     hint = F.broadcast if small else lambda x: x
 
-    def order(key: str, epoch: str) -> Column:
-        return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col(epoch).cast("string"), F.col(key)).cast("binary"))
-
-    bucket = lambda c: F.conv(F.substring(c, 1, 3), 16, 10).cast("int")
-    sums = light.join(hint(plan.select(*LEVELS, "epochs")), list(LEVELS)).groupBy(*LEVELS, bucket(order("key", "epochs")).alias("bucket")).agg(F.sum("tokens").alias("n"))
-    w = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    cuts = sums.join(hint(plan), list(LEVELS)).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n")))
-    cuts = cuts.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], F.col("epochs").alias("_epochs"), F.col("rest").alias("_rest"), F.col("bucket").alias("_cut"), F.col("before").alias("_before"))
-    cuts = common.table(cuts, f"{folder}/cuts")
-    rows = named.where("_tokens > 0").join(hint(cuts), [f"_{k}" for k in LEVELS])
-    rows = rows.withColumn("_order", order("_key", "_epochs")).withColumn("_bucket", bucket(F.col("_order")))
+    def order(key: str, epochs: str, content: str) -> Column:
+        """Seed, epoch and id decide; rows that share an id are told apart by what they hold."""
+        first = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col(epochs).cast("string"), F.col(key)).cast("binary"))
+        return F.concat(first, F.lower(F.lpad(F.hex(content), 16, "0")))
+
+    placed = light.join(hint(plan.select(*leaf, "epochs")), leaf).select(*leaf, "tokens", order("key", "epochs", "content").alias("at"))
+    cuts, digits = _cuts(placed, hint(plan), folder, edge_rows)
+    head = lambda c: F.substring(c, 1, digits)
+    # the range that the budget ends in, row by row; equal rows are one with a count
+    edge = placed.join(hint(cuts), leaf).where(head("at") == F.col("prefix")).groupBy(*leaf, "at", "tokens", "rest", "before").agg(F.count(F.lit(1)).alias("copies"))
+    w = Window.partitionBy(*leaf).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # edge_rows rows of a leaf at most
+    edge = edge.withColumn("left", F.col("rest") - F.col("before") - F.coalesce(F.sum(F.col("tokens") * F.col("copies")).over(w), F.lit(0)))
+    edge = edge.where("left > 0").withColumn("whole", F.least("copies", F.expr("left div tokens")))
+    edge = edge.withColumn("part", F.when(F.col("whole") < F.col("copies"), F.least("tokens", F.col("left") - F.col("whole") * F.col("tokens"))).otherwise(0))
+    edge = common.table(edge.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], F.col("at").alias("_at"), "whole", "part"), f"{folder}/edge")
+
+    of_leaf = cuts.select(*[F.col(k).alias(f"_{k}") for k in LEVELS], F.col("epochs").alias("_epochs"), F.col("prefix").alias("_prefix"))
+    rows = named.where("_tokens > 0").join(hint(of_leaf), under).withColumn("_at", order("_key", "_epochs", "_content"))
     full = rows.where("_epochs > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs") - 1)).alias("_epoch"), F.col("_tokens").alias("_taken"))
-    last = rows.where("_bucket < _cut").select("*", F.col("_epochs").alias("_epoch"), F.col("_tokens").alias("_taken"))
-    edge = rows.where("_bucket = _cut")
-    ordered = Window.partitionBy(*[f"_{k}" for k in LEVELS]).orderBy("_order", "_key", "_tokens")
-    start = F.col("_before") + F.sum("_tokens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_tokens")
-    edge = edge.withColumn("_start", start).where("_start < _rest").select(
-        *rows.columns, F.col("_epochs").alias("_epoch"), F.least("_tokens", F.col("_rest") - F.col("_start")).alias("_taken")
-    )
-    out = full.unionByName(last).unionByName(edge)
+    last = rows.where(head("_at") < F.col("_prefix")).select("*", F.col("_epochs").alias("_epoch"), F.col("_tokens").alias("_taken"))
+    # few rows are left here; of equal ones any may stand for all
+    ends = rows.where(head("_at") == F.col("_prefix")).groupBy(*under, "_at").agg(*[F.first(c).alias(c) for c in rows.columns if c not in (*under, "_at")])
+    ends = ends.join(edge, [*under, "_at"])
+    thousand = F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole"), F.lit(1000).cast("long"))).alias("_from")
+    taken = ends.where("whole > 0").select("*", thousand).select("*", F.explode(F.array_repeat(F.lit(0), F.least(F.col("whole") - F.col("_from") + 1, F.lit(1000)).cast("int"))))
+    taken = taken.select(*rows.columns, F.col("_epochs").alias("_epoch"), F.col("_tokens").alias("_taken"))
+    part = ends.where("part > 0").select(*rows.columns, F.col("_epochs").alias("_epoch"), F.col("part").alias("_taken"))
+    out = full.unionByName(last).unionByName(taken).unionByName(part)
     extra = {"domain": "_domain", "epoch": "_epoch", "tokens": "_tokens", "tokens_taken": "_taken"}
-    own = [c for c in docs.columns if c not in extra]
-    return out.select(*[F.col(f"_row.`{c}`") for c in own], *[F.col(v).alias(k) for k, v in extra.items()])
+    return out.select(*[F.col(f"_row.`{c}`").alias(_free(c, [*docs.columns, *extra]) if c in extra else c) for c in docs.columns], *[F.col(v).alias(k) for k, v in extra.items()])
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """``input_name``, with as many more ``input_`` before it as it takes to be new."""
+    while name in taken:
+        name = f"input_{name}"
+    return name
 
 
 def report(docs: DataFrame, folder: str, mix: Mix | None = None) -> DataFrame:

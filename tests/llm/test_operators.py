@@ -294,10 +294,30 @@ def test_mixing(spark, awkward, clashing, empty, folder):
         got = {(r.doc_id, r.tokens_taken) for r in out if (r.domain, r.lang or "∅", r.source) == key and r.epoch == b.epochs}
         assert got == want
     assert sorted(map(repr, mixing.mix_sources(docs, folder + "/again", mix).collect())) == sorted(map(repr, out))
+    assert sorted(map(repr, mixing.mix_sources(docs, folder + "/deep", mix, edge_rows=3).collect())) == sorted(map(repr, out))
+    kept = mixing.mix_sources(clashing, folder + "/k")
+    assert {"input_epoch", "epoch", "input_tokens", "tokens"} <= set(kept.columns) and all(r.input_epoch == 7 for r in kept.collect())
     assert table(mixing.mix_sources(empty, folder + "/e")) == []
     assert mixing.mix_sources(awkward, folder + "/a").count() > 0 and mixing.mix_sources(clashing, folder + "/c").count() > 0
 
 
+def test_mixing_of_equal_ids(spark, folder):
+    """Null ids and repeated rows at the end of the budget: exact, and the same in any order of rows."""
+    rng = random.Random(36)
+    rows = [(None, words(rng, 5), "en", "a") for _ in range(60)] + [(1, "one two three", "en", "a")] * 2500 + [(2, words(rng, 7), "en", "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    total = sum(len(r[1].split()) for r in rows)
+    before = None
+    for i, (df, edge) in enumerate(((docs, 20_000), (docs.repartition(5), 10))):
+        out = mixing.mix_sources(df, f"{folder}/{i}", edge_rows=edge).collect()
+        assert sum(r.tokens_taken for r in out) == total // 2
+        left = Counter(rows)
+        left.subtract(r[:4] for r in out)
+        assert min(left.values()) >= 0
+        assert before in (None, Counter(out))
+        before = Counter(out)
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 def test_fingerprints(awkward, folder):
     from xxhash import xxh64_intdigest
