@@ -76,3 +76,17 @@ def test_one_id_may_have_several_texts(spark, folder):
         assert len(out) == 2 and (1, a, "x") in out and {r[:2] for r in out} == {(1, a), (9, b)}
         assert i == 0 or sorted(out) == before  # the same of several rows each time
         before = sorted(out)
+
+
+def test_large_group_of_loose_copies(spark, folder, monkeypatch):
+    """Members on both sides of the threshold, most of them too far from every pivot."""
+    monkeypatch.setattr(near_copies.links, "__kwdefaults__", {"light": 8})
+    monkeypatch.setattr(near_copies, "PIVOTS", 2)
+    rng = random.Random(9)
+    hub, line = words(rng, 70), words(rng, 12)
+    texts = [changed(rng, hub, rng.randint(1, 8)) for _ in range(220)]
+    texts += [changed(rng, t, 1) for t in rng.sample(texts, 60)] + [t + " " + line for t in rng.sample(texts, 40)] + [" ".join(t.split()[: rng.randint(50, 69)]) for t in rng.sample(texts, 30)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, folder).collect()) == kept(rows)
+    assert spark.read.parquet(f"{folder}/by-difference-found").count() > 0
