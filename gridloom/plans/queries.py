@@ -513,9 +513,12 @@ def _values(rows: list[tuple], names: str) -> str:
 _FAMILIES = {"Compression": COMPRESSION, "SampleFormat": SAMPLE_FORMAT, "Photometric": PHOTOMETRIC, "Predictor": PREDICTOR, "Planar": PLANAR}
 
 
-@query(_values([(t.code, t.name, t.type, t.shape) for t in TAGS.values()], "code, name, type, shape"))
+_BUILT_IN = tuple(TAGS.values())  # users may register more
+
+
+@query(_values([(t.code, t.name, t.type, t.shape) for t in _BUILT_IN], "code, name, type, shape"))
 def known_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tag_names(spark)
+    return tag_names(spark).where(F.col("name").isin(*[t.name for t in _BUILT_IN]))
 
 
 @query(_values([(f, c, n) for f, e in _FAMILIES.items() for n, c in e.items()], "family, code, name"))
