@@ -3,8 +3,8 @@
 No SimHash radius finds all of these (pairs at 0.8 differ by 10 bits of 64 on average, some by far more), so candidates come
 from prefixes: in any fixed order of shingles, two sets of that similarity share one of their first n // 5 + 1. The order
 is that of the hashes, but shingles whose slot in a bitmap of fixed size is marked come last. A first pass marks those that
-more than ``LIGHT`` prefixes hold; as others of a common passage then move up into the prefixes, ``ROUNDS`` more passes mark the
-common ones among what follows in texts whose prefix is marked to a quarter. The order is the same for all texts, so a full bitmap or a
+more than ``LIGHT`` / 2 prefixes hold; as others of a common passage then move up into the prefixes, ``ROUNDS`` more passes mark
+what more than ``LIGHT`` prefixes hold, and only texts with such a shingle in their prefix are taken again. The order is the same for all texts, so a full bitmap or a
 shingle that no pass has marked costs time and no pairs. A pair is passed over where its sizes, or what the prefix that ends
 first lacks in the other, rule out 0.8; every other candidate is verified on the whole sets.
 
@@ -19,22 +19,22 @@ one shingle; all texts without a word are one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from .components import components
 
 WORDS = 5
 LIGHT = 64
 ROUNDS = 2
-AHEAD = 2  # how many prefixes long the passes after the first look
 PIVOTS = 16
 SEED = 42
-SLOTS = 1 << 20
+SLOTS = 1 << 22
 CLASSES = 20  # classes of members by their difference from a common text, for each unit of its size
 BATCH = 500_000
 
@@ -67,68 +67,80 @@ def _slots(df: DataFrame, name: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _heads(batches: Iterator[pa.RecordBatch], often: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(k): the prefix of each text; with marks, the first unmarked shingles of each text whose prefix is marked to a quarter."""
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k): the first shingles of each text by hash, as many as its prefix has."""
     held: list[np.ndarray] = []
     for b in batches:
         for text in b.column(0):
             h = shingles(text.as_py())
-            take = len(h) // 5 + 1
-            if often is not None:
-                last = _marked(often, h)
-                if 4 * last[:take].sum() < take:
-                    continue
-                h, take = h[~last], AHEAD * take
-            held.append(h[:take])
+            held.append(h[: len(h) // 5 + 1])
             if sum(len(x) for x in held[-1:]) > BATCH or len(held) >= 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], ["k"])
                 held.clear()
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*held, np.zeros(0, np.int64)]))], ["k"])
 
 
-def _common(texts: DataFrame, light: int) -> np.ndarray:
-    """The bitmap of the shingles that come last."""
-
-    def met(often: np.ndarray | None) -> np.ndarray:
-        keys = texts.select("text").mapInArrow(lambda it: _heads(it, often), "k long")
-        return _slots(keys.groupBy("k").count().where(F.col("count") > light), "k")
-
-    often = met(None)
-    for _ in range(ROUNDS if often.any() else 0):
-        more = met(often)
-        often = often | more
-        if not more.any():
-            break
-    return often
-
-
-def _prefixes(batches: Iterator[pa.RecordBatch], often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(node, k, n, often, rare): the prefix of each text, its size, which keys come last, and how many do not."""
-    held: list[list[np.ndarray]] = [[] for _ in range(5)]
+def _prefixes(batches: Iterator[pa.RecordBatch], often: np.ndarray, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(node, n, rare, fp, k array): of the nodes whose slot is marked in ``only``, the size, the number of keys that do not come last,
+    the fingerprint and the prefix, keys that come last at its end."""
+    held: list[tuple[int, int, int, int]] = []
+    keys: list[np.ndarray] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        cols = [pa.array(np.concatenate([*h, np.zeros(0, np.int64)])) for h in held]
-        for h in held:
-            h.clear()
-        return pa.RecordBatch.from_arrays(cols, ["node", "k", "n", "often", "rare"])
+        ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+        flat = pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]))
+        cols = [pa.array([x[i] for x in held], pa.int64()) for i in range(4)]
+        out = pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), flat)], ["node", "n", "rare", "fp", "k"])
+        held.clear()
+        keys.clear()
+        return out
 
     for b in batches:
-        for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            h = shingles(text.as_py())
+        ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for i in range(len(ids)) if only is None else np.nonzero(_marked(only, ids))[0]:
+            h = shingles(b.column(1)[int(i)].as_py())
+            if not len(h):
+                continue
             last = _marked(often, h)
-            take = len(h) // 5 + 1
-            k = np.concatenate([h[~last], h[last]])[:take]
-            rare = len(h) - int(last.sum())
-            for at, x in enumerate((np.full(len(k), node), k, np.full(len(k), len(h)), (np.arange(len(k)) >= rare).astype(np.int64), np.full(len(k), rare))):
-                held[at].append(x.astype(np.int64))
-            size += len(k)
-            if size > BATCH:
+            held.append((int(ids[i]), len(h), len(h) - int(last.sum()), simhash.of_hashes(h)))
+            keys.append(np.concatenate([h[~last], h[last]])[: len(h) // 5 + 1])
+            size += len(keys[-1])
+            if size > BATCH or len(held) >= 5000:
                 size = 0
                 yield flush()
     yield flush()
 
 
+def _index(texts: DataFrame, light: int, path: str) -> DataFrame:
+    """The prefixes of all nodes, see ``_prefixes``, one row for each. Those of texts that hold a key which turns out to be common are
+    taken again, until no key but those that come last is in more than ``light`` prefixes."""
+    kind = "node long, n long, rare long, fp long, k array<long>"
+
+    def taken(often: np.ndarray, only: np.ndarray | None = None) -> DataFrame:
+        return texts.mapInArrow(lambda it: _prefixes(it, often, only), kind)
+
+    def whole(found: DataFrame, path: str) -> DataFrame:  # copies of a text have equal rows
+        return common.table(found.groupBy("node").agg(F.first(F.struct("n", "rare", "fp", "k")).alias("x")).select("node", "x.*"), path)
+
+    often = _slots(texts.select("text").mapInArrow(_heads, "k long").groupBy("k").count().where(F.col("count") > light // 2), "k")
+    layers = [whole(taken(often), f"{path}-0")]
+    slot = F.col("k").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")
+    for step in range(1, ROUNDS + 1):
+        index = reduce(DataFrame.unionByName, layers)
+        keys = index.select("node", F.explode(F.slice("k", 1, F.least("rare", F.size("k")).cast("int"))).alias("k"))
+        crowd = common.table(keys.groupBy("k").count().where(F.col("count") > light).select("k"), f"{path}-crowd-{step}")
+        more = _slots(crowd, "k")
+        if not more.any():
+            break
+        often = often | more
+        moved = keys.select("node", slot).join(crowd.select(slot).distinct(), "slot", "left_semi").select("node").distinct()
+        moved = common.table(moved, f"{path}-moved-{step}")
+        again = taken(often, _slots(moved, "node")).join(moved, "node", "left_semi")
+        layers = [x.join(moved, "node", "left_anti") for x in layers] + [whole(again, f"{path}-{step}")]
+    return reduce(DataFrame.unionByName, layers)
+
+
 def _whole(batches: Iterator[pa.RecordBatch], slots: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(node, k array): the whole sets of the nodes whose slot is marked."""
     nodes: list[int] = []
@@ -188,21 +200,18 @@ def _possible(pairs: DataFrame, ends: DataFrame, heavy: DataFrame) -> DataFrame:
 def links(docs: DataFrame, folder: str, *, light: int = LIGHT) -> DataFrame:
     """Edges (a, b) that connect all nodes of (node, text) that are near copies, and no others."""
     texts = docs.select("node", "text")
-    kind = "node long, k long, n long, often long, rare long"
-    often = _common(texts, light)
-    index = common.table(texts.mapInArrow(lambda it: _prefixes(it, often), kind), f"{folder}/index")
-    last = F.max(F.struct("often", "k")).alias("last")
-    ends = common.table(index.groupBy("node").agg(F.max("n").alias("n"), F.max("rare").alias("rare"), last), f"{folder}/ends")
+    index = _index(texts, light, f"{folder}/index")
+    last = F.struct((F.size("k") > F.col("rare")).cast("int").alias("often"), F.element_at("k", -1).alias("k")).alias("last")
+    ends = common.table(index.select("node", "n", "rare", "fp", last), f"{folder}/ends")
     by = Window.partitionBy("k")
-    multi = index.select("node", "k", F.min("node").over(by).alias("lo"), F.max("node").over(by).alias("hi")).where("lo <> hi").select("node", "k")
-    every = common.table(multi.distinct(), f"{folder}/every")
-    sizes = common.table(every.groupBy("k").count().where("count > 1"), f"{folder}/sizes")
-    a = every.join(sizes.where(F.col("count") <= light).select("k"), "k").select("k", F.col("node").alias("a"))
+    each = index.select("node", F.explode("k").alias("k"))
+    every = common.table(each.select("node", "k", F.count(F.lit(1)).over(by).alias("count")).where("count > 1"), f"{folder}/every")
+    a = every.where(F.col("count") <= light).select("k", F.col("node").alias("a"))
     same = (F.col("k") == F.col("kb")) & (F.col("a") < F.col("b"))
     paired = a.join(a.select(F.col("k").alias("kb"), F.col("a").alias("b")), same).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
     paired = common.table(paired, f"{folder}/paired")
     off = 2 * F.col("rare") - F.col("n")  # what a text differs by from all that is common, up to a constant
-    heavy = common.table(every.join(sizes.where(F.col("count") > light).select("k"), "k").join(ends, "node").select("node", "k", off.alias("off")), f"{folder}/heavy")
+    heavy = common.table(every.where(F.col("count") > light).join(ends, "node").select("node", "k", off.alias("off")), f"{folder}/heavy")
     best = F.struct("off", "node")
     pivots = heavy.groupBy("k").agg(F.array(*[F.min(F.when(F.pmod("node", F.lit(PIVOTS)) == i, best)) for i in range(PIVOTS)]).alias("pivots"))
     stars = heavy.join(pivots, "k").select("node", F.explode("pivots.node").alias("pivot")).where("node <> pivot")
@@ -236,13 +245,22 @@ def _by_difference(open_: DataFrame, texts: DataFrame, path: str) -> DataFrame:
     dx and dy, rare elements first, which are the shorter the less alike the two are to p. Members are dealt into
     classes of |dx| / n, so that this share is known for a pair of classes. What no other member that counts differs by sets a member
     off from all of them: with more than a quarter of its size it has no partner, whose size is within a quarter of its own.
+    Before any of this, members with more than a fifth that no other component holds are put aside, by their own elements alone: they have
+    no partner, but as texts that share one passage and nothing else all lack the rest of ``p``, they would all meet in it.
     """
     need = open_.select("node").unionByName(open_.select(F.col("p").alias("node"))).distinct()
     sets = _sets_of(texts, need, f"{path}-sets")
     members = open_.select("node", "root", "p").unionByName(open_.select(F.col("p").alias("node"), F.col("main").alias("root"), "p")).distinct()
     both = members.join(sets.withColumnRenamed("set", "sx"), "node").join(sets.select(F.col("node").alias("p"), F.col("set").alias("sp")), "p")
-    apart = F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx"))
-    diff = common.table(both.select("p", "node", "root", F.size("sx").alias("n"), apart.alias("d")), f"{path}-differences")
+    both = both.select("p", "node", "root", F.size("sx").alias("n"), F.array_except("sx", "sp").alias("own"), "sx", "sp")
+    own = common.table(both.drop("sx", "sp"), f"{path}-own")
+    each = own.select("p", "node", "root", F.explode("own").alias("e"))
+    met = each.groupBy("p", "e").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("p", "e")
+    held = each.join(met, ["p", "e"]).groupBy("p", "node").count()
+    partner = own.join(held, ["p", "node"], "left").where("5 * (size(own) - coalesce(count, 0)) <= n").select("p", "node")
+    partner = common.table(partner, f"{path}-partner")
+    apart = F.concat("own", F.array_except("sp", "sx")).alias("d")
+    diff = common.table(both.join(partner, ["p", "node"], "left_semi").select("p", "node", "root", "n", apart), f"{path}-differences")
     size = F.size("d")
     slack = (F.col("n") / 9 - size).alias("slack")
     most = diff.groupBy("p").agg(F.max(F.struct(slack, F.col("node").alias("hub"))).alias("x")).select("p", F.col("x.slack").alias("most"), "x.hub")

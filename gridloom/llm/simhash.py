@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common, near_copies
+from . import common
 from .components import components
 
 BITS = 64
@@ -52,11 +52,23 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     for at in range(0, n, 1 << 16):  # shingles of a very long text are never all there at once
         part = w[at : at + (1 << 16) + width - 1]
         grams = [part] if n == 1 else zip(*[part[i:] for i in range(width)], strict=False)
-        h = np.array([xxh64_intdigest(b" ".join(g), SEED) for g in grams], "<u8")
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += _set_bits(np.array([xxh64_intdigest(b" ".join(g), SEED) for g in grams], "<u8"))
+    return _majority(count, n)
+
+
+def _set_bits(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(count: np.ndarray, n: int) -> int:
     return int(np.packbits((2 * count > n).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
+def of_hashes(h: np.ndarray) -> int:
+    """Signed 64-bit SimHash of hashed shingles."""
+    return _majority(sum((_set_bits(h[at : at + (1 << 16)]) for at in range(0, len(h), 1 << 16)), np.zeros(BITS, np.int64)), len(h))
+
+
 @F.pandas_udf(T.LongType())
 def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
@@ -169,10 +181,11 @@ def plan(fps: DataFrame, counts: tuple[int, ...] = PARTS, distance: int = DISTAN
     return best[1], best[2]
 
 
-def links(fps: DataFrame, folder: str, parts: tuple[int, ...] = PARTS, distance: int = DISTANCE, light: int = LIGHT) -> DataFrame:
+def links(fps: DataFrame, folder: str, parts: tuple[int, ...] = PARTS, distance: int = DISTANCE, light: int = LIGHT, whole: bool = True) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints within ``distance`` (at most 2) bits: every link in light
-    groups, and stars over shared neighbours, which connect the same fingerprints, in heavy ones."""
-    if distance > 2:
+    groups, and stars over shared neighbours, which connect the same fingerprints, in heavy ones. Without ``whole`` the distance
+    may be larger; in heavy groups only what two bits connect is then found, and the caller looks for the rest."""
+    if whole and distance > 2:
         raise ValueError("heavy groups are resolved for at most two differing bits")
     grouped, ts = plan(fps, parts, distance, light)
     index = common.table(fps.select("fp", F.explode(_keys(grouped, ts)).alias("k")), f"{folder}/index")
@@ -216,6 +229,8 @@ def report(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, folder: str) -> DataFrame:
-    """``docs`` without near copies by the pipeline's rule, five-word shingles of similarity 0.8, which no radius of
-    ``cluster`` covers: see ``near_copies``."""
+    """``docs`` without near copies by the pipeline's rule, five-word shingles of similarity 0.8: links of fingerprints, each verified, and
+    by an exact path what no radius covers. See ``near_copies``."""
+    from . import near_copies  # which takes its first links from this module
+
     return near_copies.keep_one(docs, folder)

@@ -90,3 +90,18 @@ def test_large_group_of_loose_copies(spark, folder, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(docs, folder).collect()) == kept(rows)
     assert spark.read.parquet(f"{folder}/by-difference-found").count() > 0
+
+
+def test_texts_that_share_one_passage_are_told_apart_early(spark, folder, monkeypatch):
+    """No element of texts without a partner is listed by class, however long the text that the others are compared with."""
+    monkeypatch.setattr(near_copies.links, "__kwdefaults__", {"light": 8})
+    rng = random.Random(10)
+    line, hub = words(rng, 60), words(rng, 70)
+    texts = [words(rng, rng.randint(40, 50)) + " " + line for _ in range(60)] + [line + " " + words(rng, 900)]
+    texts += [changed(rng, hub, rng.randint(1, 4)) for _ in range(40)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, folder).collect()) == kept(rows)
+    listed = {r.node for r in spark.read.parquet(f"{folder}/by-difference-keys").select("node").distinct().collect()}
+    copies = docs.where("doc_id > 60").select(near_copies.node_of(F.col("text")).alias("node"))
+    assert listed <= {r.node for r in copies.collect()}
