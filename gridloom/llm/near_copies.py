@@ -8,6 +8,9 @@ what more than ``LIGHT`` prefixes hold, and only texts with such a shingle in th
 shingle that no pass has marked costs time and no pairs. A pair is passed over where its sizes, or what the prefix that ends
 first lacks in the other, rule out 0.8; every other candidate is verified on the whole sets.
 
+The first links come from SimHash fingerprints of the sets, probed by the parts of ``simhash.links`` within ``RADIUS`` bits and verified
+in the same way. The prefixes then find what no radius covers: only candidates in different components of those links go on.
+
 Only groups of texts that are common almost throughout still meet in more than ``LIGHT``. There each is compared with
 ``PIVOTS`` texts that differ least from what is common. What is still in different components afterwards is joined by the
 differences from one common text, see ``_by_difference``. So a pair is either verified or joined by other links, in groups of any size.
@@ -32,6 +35,7 @@ from .components import components
 WORDS = 5
 LIGHT = 64
 ROUNDS = 2
+RADIUS = 3  # bits by which fingerprints of the first links differ
 PIVOTS = 16
 SEED = 42
 SLOTS = 1 << 22
@@ -197,6 +201,20 @@ def _possible(pairs: DataFrame, ends: DataFrame, heavy: DataFrame) -> DataFrame:
     return pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)").where(9 * (first - must) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def _by_fingerprint(ends: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+    """The near copies (a, b) whose SimHash fingerprints are linked: probed by the parts of ``simhash.links`` and verified. Texts of one
+    fingerprint are compared with the least of them, which stands for it."""
+    fps = common.table(ends.groupBy("fp").agg(F.min("node").alias("least")), f"{path}-fingerprints")
+    linked = simhash.links(fps.select("fp"), path, distance=RADIUS, whole=False)
+    for x in "ab":
+        linked = linked.join(fps.select(F.col("fp").alias(x), F.col("least").alias(f"least{x}")), x)
+    same = ends.join(fps, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    pairs = linked.select(F.least("leasta", "leastb").alias("a"), F.greatest("leasta", "leastb").alias("b")).unionByName(same)
+    for x in "ab":
+        pairs = pairs.join(ends.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")), x)
+    return _verified(pairs.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b"), texts, path)
+
+
 def links(docs: DataFrame, folder: str, *, light: int = LIGHT) -> DataFrame:
     """Edges (a, b) that connect all nodes of (node, text) that are near copies, and no others."""
     texts = docs.select("node", "text")
@@ -217,11 +235,16 @@ def links(docs: DataFrame, folder: str, *, light: int = LIGHT) -> DataFrame:
     stars = heavy.join(pivots, "k").select("node", F.explode("pivots.node").alias("pivot")).where("node <> pivot")
     stars = stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.lit(0).cast("long").alias("c"))
 
+    near = _by_fingerprint(ends, texts, f"{folder}/simhash")
+    known = components(near, f"{folder}/simhash-linked")
+
     def checked(more: DataFrame, which: DataFrame, path: str) -> DataFrame:
-        both = which.unionByName(more.distinct()).groupBy("a", "b").agg(F.sum("c").alias("c"))
-        return _verified(_possible(both, ends, heavy), texts, path)
+        both = _possible(which.unionByName(more.distinct()).groupBy("a", "b").agg(F.sum("c").alias("c")), ends, heavy)
+        for x in "ab":
+            both = both.join(known.select(F.col("node").alias(x), F.col("root").alias(f"root{x}")), x, "left")
+        return _verified(both.where("coalesce(roota, a) <> coalesce(rootb, b)").select("a", "b"), texts, path)
 
-    edges = checked(stars, paired, f"{folder}/first")
+    edges = near.unionByName(checked(stars, paired, f"{folder}/first"))
     if heavy.isEmpty():
         return edges
     roots = components(edges, f"{folder}/linked")

@@ -105,3 +105,23 @@ def test_texts_that_share_one_passage_are_told_apart_early(spark, folder, monkey
     listed = {r.node for r in spark.read.parquet(f"{folder}/by-difference-keys").select("node").distinct().collect()}
     copies = docs.where("doc_id > 60").select(near_copies.node_of(F.col("text")).alias("node"))
     assert listed <= {r.node for r in copies.collect()}
+
+
+def test_links_of_fingerprints_come_first(spark, folder):
+    """What SimHash links and the whole sets confirm is linked by that step alone."""
+    rng = random.Random(11)
+    texts = [words(rng, 400) for _ in range(30)]
+    rows = list(enumerate(texts + [changed(rng, t, rng.randint(1, 3)) for t in texts for _ in range(4)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, folder).collect()) == kept(rows)
+    nodes = [r.node for r in docs.orderBy("doc_id").select(near_copies.node_of(F.col("text")).alias("node")).collect()]
+    sets = [near_copies.shingles(t) for _, t in rows]
+    fps = [simhash.of_hashes(h) for h in sets]
+    assert fps[:5] == [simhash.fingerprint(t, near_copies.WORDS) for t in texts[:5]]
+    want = set()
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(set(a.tolist()) & set(sets[j].tolist()))
+            if (fps[i] ^ fps[j]).bit_count() <= near_copies.RADIUS and 5 * n >= 4 * (len(a) + len(sets[j]) - n):
+                want.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    assert want and {(r.a, r.b) for r in spark.read.parquet(f"{folder}/simhash-close").collect()} == want
