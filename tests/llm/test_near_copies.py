@@ -107,6 +107,13 @@ def test_texts_that_share_one_passage_are_told_apart_early(spark, folder, monkey
     assert listed <= {r.node for r in copies.collect()}
 
 
+def groups(pairs):
+    of = {x: frozenset([x]) for p in pairs for x in p}
+    for a, b in pairs:
+        of |= dict.fromkeys(of[a] | of[b], of[a] | of[b])
+    return set(of.values())
+
+
 def test_links_of_fingerprints_come_first(spark, folder):
     """What SimHash links and the whole sets confirm is linked by that step alone."""
     rng = random.Random(11)
@@ -122,6 +129,7 @@ def test_links_of_fingerprints_come_first(spark, folder):
     for i, a in enumerate(sets):
         for j in range(i):
             n = len(set(a.tolist()) & set(sets[j].tolist()))
-            if (fps[i] ^ fps[j]).bit_count() <= near_copies.RADIUS and 5 * n >= 4 * (len(a) + len(sets[j]) - n):
+            if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= near_copies.RADIUS and 5 * n >= 4 * (len(a) + len(sets[j]) - n):
                 want.add((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-    assert want and {(r.a, r.b) for r in spark.read.parquet(f"{folder}/simhash-close").collect()} == want
+    got = {(r.a, r.b) for r in spark.read.parquet(f"{folder}/simhash-close").collect()}
+    assert got and got <= want and groups(got) == groups(want)  # texts of one fingerprint are linked by the least of them
