@@ -118,7 +118,7 @@ def rational_to_double(value: Column) -> Column:
 
 def ascii_trim(text: Column) -> Column:
     """Without trailing NULs; inner ones stay."""
-    return F.regexp_replace(text, "\\x00+$", "")
+    return F.rtrim(text, F.lit("\x00"))
 
 
 def nul_split(text: Column) -> Column:

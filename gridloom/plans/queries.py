@@ -392,10 +392,14 @@ def rational_to_double(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, len(string_split(t, chr(1))) - CASE WHEN ends_with(t, chr(1)) THEN 1 ELSE 0 END AS n, string_split(t, chr(1))[1] AS first, string_split(rtrim(t, chr(1)), chr(1))[-1] AS last FROM (SELECT doc_id, replace(text, ' ', chr(1)) AS t FROM documents)")
 def nul_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(" "), F.lit("\x00")).alias("t"))
-    parts = binary.nul_split(F.col("t"))
-    last = F.element_at(binary.nul_split(binary.ascii_trim(F.col("t"))), -1)
-    return d.select("doc_id", F.size(parts).cast("long").alias("n"), F.get(parts, F.lit(0)).alias("first"), last.alias("last"))
+    """Spaces as NULs. Char 1 stands for NUL in the SQL: here a text's own NULs and chars 1 change places with each other."""
+    nul, one, space = F.lit("\x00"), F.lit("\x01"), F.lit(" ")
+    t = F.replace(F.replace(F.replace("text", one, space), nul, one), space, nul)
+    d = _read(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
+    ended = lambda c: F.when(c == "", nul).otherwise(c)  # noqa: E731  an empty text is written as its final NUL
+    parts = binary.nul_split(ended(F.col("t")))
+    last = F.element_at(binary.nul_split(ended(binary.ascii_trim(F.col("t")))), -1)
+    return d.select("doc_id", F.size(parts).cast("long").alias("n"), F.replace(F.get(parts, F.lit(0)), one, nul).alias("first"), F.replace(last, one, nul).alias("last"))
 
 
 @query("SELECT doc_id, length(text) AS n, sha256(text) AS digest FROM documents")
