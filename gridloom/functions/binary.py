@@ -48,14 +48,19 @@ def float24_to_double(bits: Column) -> Column:
     return _small_float(bits, 7, 16)
 
 
+def binary_exponent(size: Column) -> Column:
+    """The largest k with 2^k <= size, for a positive DOUBLE. A logarithm alone is off by one at some powers of two."""
+    k = F.floor(F.log2(size))
+    return F.when(F.pow(F.lit(2.0), k) > size, k - 1).when(F.pow(F.lit(2.0), k + 1) <= size, k + 1).otherwise(k)
+
+
 def _to_small_float(value: Column, exponent_bits: int, mantissa_bits: int) -> Column:
     """Truncating conversion; too large becomes infinity, below the least subnormal zero."""
     bias = (1 << (exponent_bits - 1)) - 1
     top = ((1 << exponent_bits) - 1) << mantissa_bits
     v = value.cast("double")
     size = F.abs(v)
-    exponent = F.floor(F.log2(size))
-    exponent = F.when(F.pow(F.lit(2.0), exponent) > size, exponent - 1).when(F.pow(F.lit(2.0), exponent + 1) <= size, exponent + 1).otherwise(exponent)
+    exponent = binary_exponent(size)
     normal = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * (1 << mantissa_bits)).cast("long") + F.shiftleft((exponent + bias).cast("long"), mantissa_bits)
     tiny = F.floor(size * F.pow(F.lit(2.0), F.lit(bias - 1 + mantissa_bits))).cast("long")
     bits = (

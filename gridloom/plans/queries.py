@@ -333,8 +333,8 @@ def _shown_sql(value: str, special: str, name: str) -> str:
 
 
 def _shown(c):
-    power = F.floor(F.log2(F.abs(c)))
-    text = F.concat_ws(":", power.cast("long").cast("string"), F.round(c / F.pow(F.lit(2.0), power) * 16777216).cast("long").cast("string"))
+    power = binary.binary_exponent(F.abs(c))
+    text = F.concat(power.cast("long").cast("string"), F.lit(":"), F.round(c / F.pow(F.lit(2.0), power) * 16777216).cast("long").cast("string"))
     return F.when(F.isnan(c), "nan").when(c == float("inf"), "inf").when(c == float("-inf"), "-inf").when(c == 0, "0").otherwise(text)
 
 

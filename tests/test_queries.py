@@ -39,3 +39,15 @@ def test_query(spark, duck, name):
     assert sorted(want.columns) == columns
     rows = want.project(",".join(f'"{c}"' for c in columns)).fetchall()
     assert got == sorted(repr(tuple(_plain(x) for x in r)) for r in rows)
+
+
+def test_float24_at_every_exponent(spark, tmp_path):
+    """Powers of two, their neighbours and the subnormals' ends, of either sign, and a null."""
+    bits = [s << 23 | e << 16 | m for s in (0, 1) for e in range(128) for m in (0, 1, 2, 4, 32768, 65535)]
+    keys = [b * pow(7919, -1, 1 << 24) % (1 << 24) for b in bits]
+    spark.createDataFrame([(k,) for k in [*keys, None, -1, -65536]], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = Q.QUERIES["float24_decode"](spark, f"{tmp_path}").collect()
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert {r.bits for r in got} > set(bits)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, con.sql(Q.ORACLES["float24_decode"]).fetchall()))
